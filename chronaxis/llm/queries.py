@@ -8,14 +8,21 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, mixing, packing, simhash, toxicity
+from . import exact_dedup, language_id, mixing, packing, pii, quality, simhash, toxicity, url_filter
 from .common import crc_bucket
+from .hidden_markov import HiddenMarkovModel
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_hidden_markov(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    held_out = crc_bucket(F.col("doc_id"), 5) == 1
+    return HiddenMarkovModel.train(docs.filter(~held_out)).score(docs).select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = exact_dedup.exact_dedup(_table(spark, sf_dir, "documents"), exact_dedup.DigestIndex.temporary(spark))
     return found.select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
@@ -33,11 +40,35 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_table(spark, sf_dir, "documents"), target_entropy=0.98, max_repeats=4.0)
 
 
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    held_out = crc_bucket(F.col("doc_id"), 4) == 2
+    model = language_id.train(docs, keep=~held_out)
+    return language_id.predict(docs, model).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(_table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.rules(_table(spark, sf_dir, "documents"))
+
+
+def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    base = tuple(k for k in pii.KINDS if k.base)
+    found = pii.find(_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", *[F.size(k.name).cast("long").alias(f"n_{k.name}") for k in base], F.sha2(pii.described(base).cast("binary"), 256).alias("base_sha256"), pii.described(pii.KINDS).alias("spans"))
+
+
+URL_RULES = (("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/"))
+
+
+def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge(_table(spark, sf_dir, "pages"), URL_RULES).select("page_id", "host", "path", "rule", "verdict", "bad_mean", "bad_low")
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
@@ -55,7 +86,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_exact_dedup, op3_mixing, op5_simhash, op9_packing, op10_toxicity, pipeline)}
+    return {f.__name__: f for f in (op1_hidden_markov, op2_exact_dedup, op3_mixing, op4_language_id, op5_simhash, op6_quality, op7_pii, op8_url_filter, op9_packing, op10_toxicity, pipeline)}
 
 
 def oracle_sql() -> dict[str, str]:
