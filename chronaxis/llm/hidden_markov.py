@@ -12,7 +12,7 @@ counts inside each task, and adds the tasks' sums across partitions.
 
 Scoring: the scaled forward recursion gives the exact likelihood of a text's class
 sequence, the end included; the words' counts complete it.  The most frequent
-``HEAD`` words (a fixed number, of bounded length) are broadcast; all other tokens
+words (``HEAD`` at most, of bounded length) are broadcast; all other tokens
 meet the count table by a shuffle, summed per text and word beforehand, so that no
 hot word is ever shuffled.
 
@@ -41,7 +41,7 @@ from .common import as_bytes, checkpointed, slices
 STATES = 8
 CLASSES = 2048
 COARSE = 8  # neighbouring classes are counted in groups of this many
-HEAD = 50_000
+HEAD = 100_000
 HEAD_BYTES = 48
 ITERATIONS = 2
 END = b""
@@ -90,7 +90,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         g = np.fromiter(map(of.__getitem__, flat), np.int64, len(flat))
         inside = g[:-1] != 0
         pairs += np.bincount(g[:-1][inside] // COARSE * size + g[1:][inside] // COARSE, minlength=size * size)
-        if len(words) > 300_000:
+        if len(words) > 600_000:
             yield flush()
     yield flush()
     at = np.flatnonzero(pairs)
@@ -262,13 +262,28 @@ class HiddenMarkovModel:
             likelihoods.append(like)
         return cls(model, counts, int(class_tokens.sum()), int(class_distinct.sum()), class_tokens, class_distinct, likelihoods)
 
+    def frequent(self) -> DataFrame:
+        """At most ``HEAD`` of the most frequent words, each of at most ``HEAD_BYTES``: under 10 MB whatever the corpus.
+
+        A histogram of the counts (exact to 4096, then logarithmic, so of bounded size) gives
+        the least count that admits no more than ``HEAD`` words.
+        """
+        short = self.counts.filter(F.length("word") <= HEAD_BYTES)
+        step = F.when(F.col("n") <= 4096, F.col("n")).otherwise(4096 + F.floor(16 * F.log2(F.col("n") / 4096)).cast("long"))
+        admitted, least = 0, None
+        for r in sorted(short.groupBy(step.alias("step")).agg(F.count("*").alias("words"), F.min("n").alias("least")).collect(), reverse=True):
+            admitted += r.words
+            if admitted > HEAD:
+                break
+            least = r.least
+        return short.filter(F.col("n") >= (2**62 if least is None else least)).select("word", "n")
+
     def score(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
         """``doc_id, n_tokens, n_known, train_tokens, base_score, score`` for each row."""
         states, n, v = self.states, self.n_tokens, self.n_distinct
         log_rest = np.log10(self.class_tokens + 0.5 * (self.class_distinct + 1))
         spark = docs.sparkSession
-        # HEAD words of at most HEAD_BYTES each, whatever the corpus: under 10 MB.
-        top = self.counts.filter(F.length("word") <= HEAD_BYTES).orderBy(F.desc("n"), "word").limit(HEAD).select("word", "n").toPandas()
+        top = self.frequent().toPandas()
         head = spark.sparkContext.broadcast(dict(zip(map(bytes, top["word"]), np.log10(top["n"].to_numpy(float) + 0.5).tolist(), strict=True)))
         schema = pa.schema([("word", pa.binary()), ("doc_id", pa.int64()), ("text_hash", pa.int64()), ("times", pa.int64()), ("n_tokens", pa.int64()), ("n_head", pa.int64()), ("head_log", pa.float64()), ("model_log", pa.float64())])
 
@@ -282,29 +297,31 @@ class HiddenMarkovModel:
             known, of = head.value, ClassOf()
             for batch in slices(batches, 8 << 20):
                 ids, texts = batch.column(0).to_pylist(), as_bytes(batch.column(1))
-                sequences, columns = [], [[] for _ in schema]
-
-                def add(*row, columns=columns):
-                    for c, x in zip(columns, row, strict=True):
-                        c.append(x)
-
+                sequences, own = [], []
+                rest_words: list[bytes] = []
+                rest_times: list[int] = []
+                rest_rows, hashes = [], []
                 for doc_id, text in zip(ids, texts, strict=True):
                     words = tokens(text)
                     g = np.fromiter(map(of.__getitem__, words), np.int64, len(words))
                     sequences.append(g)
                     logs = list(map(known.get, words))
-                    tail = Counter(w for w, x in zip(words, logs, strict=True) if x is None)
-                    found = [x for x in logs if x is not None]
-                    h = int(np.uint64(xxhash.xxh64_intdigest(text)).view(np.int64))
-                    add(b"\xff" + text[:8] + h.to_bytes(8, "little", signed=True), doc_id, h, None, len(words), len(found), float(sum(found)), -float(log_rest[g].sum()))
-                    for w, times in tail.items():
-                        add(w, doc_id, h, times, None, None, None, None)
-                if sequences:
-                    likes = forward(sequences, states) / np.log(10.0)
-                    own = [i for i, x in enumerate(columns[4]) if x is not None]
-                    for i, like in zip(own, likes.tolist(), strict=True):
-                        columns[7][i] += like
-                yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(columns, schema, strict=True)], schema=schema)
+                    unseen = [w for w, x in zip(words, logs, strict=True) if x is None]
+                    found = [x for x in logs if x is not None] if unseen else logs
+                    hashes.append(int(np.uint64(xxhash.xxh64_intdigest(text)).view(np.int64)))
+                    own.append((b"\xff" + text[:8] + hashes[-1].to_bytes(8, "little", signed=True), doc_id, hashes[-1], None, len(words), len(found), float(sum(found)), -float(log_rest[g].sum())))
+                    tail = Counter(unseen)
+                    rest_words += tail.keys()
+                    rest_times += tail.values()
+                    rest_rows.append(len(tail))
+                if not own:
+                    continue
+                columns = [pa.array(c, t.type) for c, t in zip(zip(*own, strict=True), schema, strict=True)]
+                columns[7] = pa.array(np.array(columns[7]) + forward(sequences, states) / np.log(10.0))
+                yield pa.RecordBatch.from_arrays(columns, schema=schema)
+                at = pa.array(np.repeat(np.arange(len(ids)), rest_rows))
+                first = [pa.array(rest_words, pa.binary()), columns[1].take(at), columns[2].take(at), pa.array(rest_times, pa.int64())]
+                yield pa.RecordBatch.from_arrays([*first, *[pa.nulls(len(at), t.type) for t in list(schema)[4:]]], schema=schema)
 
         pieces = _texts(docs, id_col, text_col).mapInArrow(run, "word binary, doc_id long, text_hash long, times long, n_tokens long, n_head long, head_log double, model_log double")
         joined = pieces.join(self.counts.select("word", "n"), "word", "left")
