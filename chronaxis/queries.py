@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+from chronaxis.plans import series_plans, vector_plans
+from chronaxis.plans.registry import Query
 
-def queries() -> dict:
-    return {}
+_MODULES = (series_plans, vector_plans)
+
+
+def queries() -> dict[str, Query]:
+    return {k: v for m in _MODULES for k, v in m.register.queries.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {k: v for m in _MODULES for k, v in m.register.sql.items()}
