@@ -45,7 +45,7 @@ HEAD = 100_000
 HEAD_BYTES = 48
 ITERATIONS = 2
 END = b""
-_TOKENS = 1_500_000
+_TOKENS = 1_000_000
 
 
 class ClassOf(dict):
@@ -142,63 +142,71 @@ class States:
         return cls(s / s.sum(), m / m.sum(1, keepdims=True), e / e.sum(1, keepdims=True))
 
 
-def _sorted_flat(sequences: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[int]]:
-    """Order (longest first), offsets, one flat array, and how many are as long as each step needs."""
+def _by_step(sequences: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, list[int]]:
+    """Order (longest first), all values by step and then by sequence, and where each step starts.
+
+    The values of a step stand together, so every step of a recursion works on slices.
+    """
     sizes = np.array([len(s) for s in sequences])
     order = np.argsort(-sizes, kind="stable")
     sizes = sizes[order]
-    flat = np.concatenate([sequences[i] for i in order])
-    offsets = np.concatenate(([0], np.cumsum(sizes)[:-1]))
-    longest = int(sizes[0])
-    active = len(sizes) - np.searchsorted(sizes[::-1], np.arange(longest), "right")
-    return order, offsets, flat, active.tolist()
+    active = len(sizes) - np.searchsorted(sizes[::-1], np.arange(int(sizes[0])), "right")
+    edges = np.concatenate(([0], np.cumsum(active)))
+    step = np.arange(edges[-1]) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    values = np.empty(edges[-1], np.int64)
+    values[edges[step] + np.repeat(np.arange(len(sizes)), sizes)] = np.concatenate([sequences[i] for i in order])
+    return order, values, edges.tolist()
 
 
 def forward(sequences: list[np.ndarray], states: States) -> np.ndarray:
     """Natural log-likelihood of each class sequence, by the scaled forward recursion."""
     out = np.zeros(len(sequences))
-    order, offsets, flat, active = _sorted_flat(sequences)
+    order, values, edges = _by_step(sequences)
     emit, move = np.ascontiguousarray(states.emit.T), states.move
     logs = np.zeros(len(sequences))
     alpha = np.broadcast_to(states.start, (len(sequences), len(states.start)))
-    for t, n in enumerate(active):
-        b = emit[flat[offsets[:n] + t]]
-        alpha = b * (alpha[:n] @ move) if t else b * alpha
-        scale = alpha.sum(1)
-        alpha = alpha / scale[:, None]
+    for t, (start, end) in enumerate(zip(edges, edges[1:], strict=False)):
+        n = end - start
+        b = emit[values[start:end]]
+        b *= alpha[:n] @ move if t else alpha
+        scale = b.sum(1)
+        b /= scale[:, None]
         logs[:n] += np.log(scale)
+        alpha = b
     out[order] = logs
     return out
 
 
 def expected_counts(sequences: list[np.ndarray], states: States) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
     """Baum-Welch: expected starts, moves and emissions, and the log-likelihood."""
-    _, offsets, flat, active = _sorted_flat(sequences)
+    _, values, edges = _by_step(sequences)
     k = len(states.start)
     emit, move = np.ascontiguousarray(states.emit.T), states.move
-    alphas, scales = np.empty((len(flat), k), np.float32), np.empty(len(flat))
+    alphas, scales = np.empty((len(values), k)), np.empty(len(values))
     alpha = np.broadcast_to(states.start, (len(sequences), k))
-    for t, n in enumerate(active):
-        at = offsets[:n] + t
-        b = emit[flat[at]]
-        alpha = b * (alpha[:n] @ move) if t else b * alpha
-        scale = alpha.sum(1)
-        alpha = alpha / scale[:, None]
-        alphas[at], scales[at] = alpha, scale
+    for t, (start, end) in enumerate(zip(edges, edges[1:], strict=False)):
+        b = emit[values[start:end]]
+        b *= alpha[: end - start] @ move if t else alpha
+        scale = b.sum(1)
+        alpha = np.divide(b, scale[:, None], out=alphas[start:end])
+        scales[start:end] = scale
     moves = np.zeros((k, k))
     beta = np.ones((len(sequences), k))
-    for t in range(len(active) - 1, -1, -1):
-        n = active[t]
-        at = offsets[:n] + t
-        if t + 1 < len(active):
-            m = active[t + 1]  # these go on after this step
-            after = at[:m] + 1
-            back = emit[flat[after]] * beta[:m] / scales[after][:, None]
-            moves += alphas[at[:m]].T.astype(np.float64) @ back
-            beta[:m] = back @ move.T
-        alphas[at] *= beta[:n]  # now the posterior of the states
-    starts = alphas[offsets].sum(0, dtype=np.float64)
-    emits = np.stack([np.bincount(flat, alphas[:, s], CLASSES) for s in range(k)])
+    back_move = np.ascontiguousarray(move.T)
+    for t in range(len(edges) - 2, -1, -1):
+        start, end = edges[t], edges[t + 1]
+        if t + 2 < len(edges):
+            after = edges[t + 2]
+            m = after - end  # these go on after this step
+            back = emit[values[end:after]]
+            back *= beta[:m]
+            back /= scales[end:after, None]
+            moves += alphas[start : start + m].T @ back
+            np.matmul(back, back_move, out=beta[:m])
+        # What was read above is now turned into the posterior of the states.
+        alphas[start:end] *= beta[: end - start]
+    starts = alphas[: edges[1]].sum(0)
+    emits = np.stack([np.bincount(values, alphas[:, s], CLASSES) for s in range(k)])
     return starts, moves * move, emits, float(np.log(scales).sum())
 
 
