@@ -20,10 +20,11 @@ def bw_ratio(long: DataFrame, groups: list[str], label: str) -> DataFrame:
 def neighbours(points: DataFrame, groups: list[str], label: str, key: str, vec: str = "vec") -> DataFrame:
     """Label of the nearest point with another label; ties go to the lowest key.
 
-    An all-pairs operation by definition; the points of one group are blocked by
-    the join's partitions, and each point keeps one running minimum.
+    An all-pairs operation by definition; the querying points are dealt evenly over
+    the cores, whatever files they come from, and each keeps one running minimum.
     """
-    a, b = points.alias("a"), points.alias("b")
+    dealt = points.repartition(2 * points.sparkSession.sparkContext.defaultParallelism, key)
+    a, b = dealt.alias("a"), points.alias("b")
     cond = F.col(f"a.{label}") != F.col(f"b.{label}")
     for g in groups:
         cond = cond & (F.col(f"a.{g}") == F.col(f"b.{g}"))

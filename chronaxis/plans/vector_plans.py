@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from chronaxis.functions import stats
 from chronaxis.functions import vectors as V
-from chronaxis.operators import geometry, linalg, probes
+from chronaxis.operators import geometry, linalg, probes, series
 from chronaxis.plans import domain as D
 from chronaxis.plans import literals
 from chronaxis.plans.registry import Registry
@@ -297,3 +297,32 @@ def sequence_metrics(spark: SparkSession, sf: str) -> DataFrame:
     made = pc1.join(own, "layer").join(geometry.bw_ratio(long, ["layer"], "label"), "layer").join(near, "layer")
     made = made.join(geometry.robustness(V.spread(cells.select("layer", "label", "vec"), "vec"), ["layer"], "label"), "layer")
     return made.withColumns({"pc1_rho": F.abs("pc1_rho"), "p": stats.p_value("pc1_rho", "n")})
+
+
+@register()
+def battery_sweep(spark: SparkSession, sf: str) -> DataFrame:
+    """Ordinals of interval series against the first component of the year path: ``series, layer, rho, n, p, sig``; series of under five years go."""
+    path = D.layers(D.trajectory(spark, sf).drop("series").withColumn("step", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("year")) - 1))
+    axes = linalg.first_component(path, ["layer"], "year")
+    scores = path.join(F.broadcast(axes), "layer").select("layer", F.col("step").alias("year"), V.dot(F.col("vec"), F.col("axis")).alias("p1"))
+    own = series.ordinals(literals.periods(spark), literals.year_grid(spark, 0, 50, 1)).filter("ordinal is not null")
+    made = stats.spearman(scores.join(F.broadcast(own), "year"), ["series", "layer"], "p1", "ordinal", least=5).filter("n >= 5")
+    made = made.withColumn("p", stats.p_value("rho", "n"))
+    return made.withColumn("sig", stats.stars_battery(F.col("p")))
+
+
+@register()
+def manifold_metrics(spark: SparkSession, sf: str) -> DataFrame:
+    """By template (a series of periods) and layer: first-component correlation, tau of distances, purity, correlation and cosine with the year axis."""
+    keys = ["tmpl", "layer"]
+    cells = D.cells(spark, sf)
+    pc1 = linalg.first_component(cells, keys, "mid")
+    scored = cells.join(F.broadcast(pc1), keys).withColumn("p1", V.dot(F.col("vec"), F.col("axis"))).drop("axis")
+    year = D.difference_axis(cells, ["layer"]).withColumnRenamed("axis", "year_axis")
+    rho = stats.spearman(scored, keys, "p1", "mid", rho="spearman_rho").withColumn("spearman_rho", F.abs("spearman_rho"))
+    cross = stats.spearman(scored.join(F.broadcast(year), "layer").withColumn("py", V.dot(F.col("vec"), F.col("year_axis"))), keys, "py", "mid", rho="cross_rho").drop("n")
+    pairs = geometry.pair_distances(cells, keys, "label", "mid").select(*keys, (F.col("i") * 1000 + F.col("j")).alias("id"), F.round("d_vec", 9).alias("d_vec"), "d_mid")
+    tau = stats.kendall_tau(pairs, keys, "d_vec", "d_mid", "id")
+    near = geometry.purity(geometry.neighbours(cells.withColumn("id", F.col("label")), keys, "label", "id"), keys, "label").drop("n")
+    cosine = pc1.join(F.broadcast(year), "layer").select(*keys, F.abs(V.cosine(F.col("axis"), F.col("year_axis"))).alias("cross_cosine"))
+    return rho.join(tau, keys).join(near, keys).join(cosine, keys).join(cross, keys)
