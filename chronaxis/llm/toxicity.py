@@ -4,7 +4,7 @@ A lexicon of words and word stems is induced from labelled texts: terms that occ
 in far more toxic than other documents, by the log-likelihood ratio.  The terms
 form a trie.  The Levenshtein automata of all terms are intersected with it in one
 machine whose states (trie node, edits) are made deterministic as words need
-them, so that most words leave it after a letter or two.  For each hit the words
+them; edits may fall on any letter, the first too.  For each hit the words
 around it tell quotation (quote marks, verbs of saying) from abuse; counts of
 exact, misspelled and quoted hits enter a logistic model.
 
@@ -56,7 +56,6 @@ class FuzzyTrie:
     """Levenshtein automata of all terms, intersected with their trie.
 
     ``terms`` are (text, stem, weight); a stem also matches what begins with it.
-    The first letter must be right.
     """
 
     terms: list[tuple[str, bool, float]]
@@ -77,7 +76,9 @@ class FuzzyTrie:
                     self.most.append(0)
                 node = self.children[node][c]
                 self.most[node] = max(self.most[node], allowed)
+            self.most[0] = max(self.most[0], allowed)
             self.ends[node].append(i)
+        self.start = self._closed({(0, 0)})
 
     def _closed(self, states: set[tuple[int, int]]) -> frozenset[tuple[int, int]]:
         """With what is reached by skipping letters of terms."""
@@ -87,8 +88,7 @@ class FuzzyTrie:
             if e > self.most[node] or found.get(node, 99) <= e:
                 continue
             found[node] = e
-            if node:
-                todo += [(child, e + 1) for child in self.children[node].values()]
+            todo += [(child, e + 1) for child in self.children[node].values()]
         return frozenset(found.items())
 
     def _step(self, states: frozenset, c: str) -> frozenset:
@@ -97,9 +97,8 @@ class FuzzyTrie:
             children = self.children[node]
             if c in children:
                 out.add((children[c], e))
-            if node:
-                out.add((node, e + 1))
-                out.update((child, e + 1) for child in children.values())
+            out.add((node, e + 1))
+            out.update((child, e + 1) for child in children.values())
         return self._closed(out)
 
     def _found(self, states: frozenset, whole: bool) -> list[tuple[int, int]]:
@@ -109,7 +108,7 @@ class FuzzyTrie:
         """(edits, number) of the best term: fewest edits, then weight."""
         if len(self.steps) > self.cached:
             self.steps.clear()
-        states, stems = frozenset({(0, 0)}), []
+        states, stems = self.start, []
         for c in word:
             key = (states, c)
             step = self.steps.get(key)
@@ -200,7 +199,10 @@ def _term_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def induce(rows: DataFrame, max_terms: int = MAX_TERMS) -> list[tuple[str, bool, float]]:
-    """The lexicon: (text, stem, weight)."""
+    """The lexicon: (text, stem, weight).
+
+    A word under a stem that forgives fewer edits stays beside it, over and above ``max_terms``.
+    """
     counts = (
         rows.mapInArrow(_term_counts, "term string, stem boolean, toxic int, docs long")
         .groupBy("term", "stem").agg(F.sum(F.when(F.col("toxic") == 1, F.col("docs")).otherwise(0)).alias("p"), F.sum(F.when(F.col("toxic") == 0, F.col("docs")).otherwise(0)).alias("n"))
@@ -221,15 +223,17 @@ def induce(rows: DataFrame, max_terms: int = MAX_TERMS) -> list[tuple[str, bool,
     finally:
         counts.unpersist()
     out: list[tuple[str, bool, float, float]] = []
+    beside: list[tuple[str, bool, float]] = []
     for r in sorted(top, key=lambda r: (-round(r.g2, 6), r.stem, -len(r.term), r.term)):
         precision = r.p / (r.p + r.n)
         covered = [x for x in out if (x[1] and r.term.startswith(x[0])) or (r.stem and x[0].startswith(r.term))]
+        term = (r.term, r.stem, math.log((r.p + 0.5) / (r.n + 0.5)))
         if any(precision < x[3] + 0.15 for x in covered):
-            continue
-        out.append((r.term, r.stem, math.log((r.p + 0.5) / (r.n + 0.5)), precision))
-        if len(out) == max_terms:
-            break
-    return [x[:3] for x in out]
+            if not r.stem and all(edits(x[0], x[1]) < edits(r.term, False) for x in covered):
+                beside.append(term)
+        elif len(out) < max_terms:
+            out.append((*term, precision))
+    return [x[:3] for x in out] + beside
 
 
 def _fit(x: np.ndarray, y: np.ndarray, ridge: float = 0.1) -> np.ndarray:

@@ -2,7 +2,7 @@ import random
 
 import pytest
 
-from chronaxis.llm.toxicity import FuzzyTrie, Matcher, ToxicityModel, edits
+from chronaxis.llm.toxicity import FuzzyTrie, Matcher, ToxicityModel, edits, induce
 from tests.llm.fixtures import SF, awkward, frame, query
 
 LABELS = "doc_id long, quality int, toxic int"
@@ -37,6 +37,36 @@ def test_automaton_equals_edit_distance():
         assert (found[0] if found else None) == (min(want) if want else None), word
 
 
+def test_automaton_edits_any_letter():
+    rng = random.Random(4)
+    terms = [("idiot", False, 1.0), ("worthless", False, 2.0), ("scum", False, 1.0), ("pathet", True, 1.5)]
+    trie = FuzzyTrie(terms)
+    assert all(trie.match(w) for w in ("xdiot", "diot", "1diot", "aidiot", "orthless", "owrthless", "athetic"))
+    for _ in range(4000):
+        base = list(rng.choice([t[0] for t in terms]) + rng.choice(["", "ic", "s"]))
+        for _ in range(rng.randrange(4)):
+            at = rng.randrange(len(base))
+            base[at : at + rng.randrange(2)] = rng.choice(["", "x", "e"])
+        word = "".join(base)
+        want = []
+        for text, stem, _ in terms:
+            best = min(distance(text, h) for h in ([word[:k] for k in range(len(word) + 1)] if stem else [word]))
+            if best <= edits(text, stem):
+                want.append(best)
+        found = trie.match(word)
+        assert (found[0] if found else None) == (min(want) if want else None), word
+
+
+def test_words_stay_beside_a_stem_that_forgives_less(spark):
+    rng = random.Random(5)
+    rows = [(" ".join([f"w{rng.randrange(300)}" for _ in range(30)] + ([rng.choice(["idiot", "idiots"])] if i % 5 == 0 else [])), int(i % 5 == 0)) for i in range(400)]
+    terms = induce(spark.createDataFrame(rows, "text string, toxic int"))
+    found = {(t, stem) for t, stem, _ in terms}
+    assert any(stem and "idiot".startswith(t) for t, stem in found) and {("idiot", False), ("idiots", False)} <= found
+    trie = FuzzyTrie(terms)
+    assert all(trie.match(w) for w in ("idiiot", "diot", "idots"))
+
+
 def test_quotation_is_told_from_abuse():
     matcher = Matcher([("idiot", False, 3.0)])
     abuse, quoted, typo = matcher.features(b"you are an idiot ok"), matcher.features(b'he said "idiot" to me'), matcher.features(b"you idoit idiott ok")
