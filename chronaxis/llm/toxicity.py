@@ -291,7 +291,7 @@ class ToxicityModel:
         return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "doc_id long, score double, n_hits long")
 
     def keep_clean(self, docs: DataFrame, threshold: float = 0.5, text_col: str = "text") -> DataFrame:
-        """The rows that score below the threshold or have no hit at all, whole, with their own columns."""
+        """The rows that score below the threshold or have no hit at all, not even a quoted one, whole, with their own columns."""
         terms, weights, names = self.terms, self.weights, docs.columns
         at = names.index(text_col)
 
@@ -299,6 +299,6 @@ class ToxicityModel:
             matcher = Matcher(terms)
             for batch in slices(batches):
                 x = np.array([matcher.features(t) for t in as_bytes(batch.column(at))], np.float64).reshape(-1, N_FEATURES)
-                yield batch.filter(pa.array((x @ np.array(weights) < math.log(threshold / (1 - threshold))) | (x[:, 0] == 0)))
+                yield batch.filter(pa.array((x @ np.array(weights) < math.log(threshold / (1 - threshold))) | ((x[:, 0] == 0) & (x[:, 2] == 0))))
 
         return docs if weights is None else docs.mapInArrow(run, docs.schema)

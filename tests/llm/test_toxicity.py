@@ -75,6 +75,16 @@ def test_quotation_is_told_from_abuse():
     assert typo[1] > 0
 
 
+def test_the_score_decides_over_quoted_hits(spark):
+    weights = [0.0, 0.0, 5.0, 0.0, 0.0, 0.0, 0.0, -1.0]
+    rows = frame(spark, [(1, 'he said "idiot" to me', "en", "s", 0), (2, "nothing here", "en", "s", 0), (3, "you idiot there", "en", "s", 0)])
+    for bias, want in ((-1.0, {2, 3}), (1.0, {2}), (-9.0, {1, 2, 3})):
+        model = ToxicityModel([("idiot", False, 3.0)], [*weights[:-1], bias])
+        scores = {r.doc_id: r.score for r in model.score(rows).collect()}
+        kept = {r.doc_id for r in model.keep_clean(rows).collect()}
+        assert kept == want == {i for i, x in scores.items() if x < 0.5 or i == 2}
+
+
 def test_planted_terms_are_learned(spark):
     rng = random.Random(2)
     rows, labels = [], []
