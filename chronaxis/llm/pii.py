@@ -9,8 +9,9 @@ Base kinds are confirmed by their form alone: ``email``; ``ip`` (parts to 255);
 ``card`` (16 to 19 digits, Luhn); ``phone`` (8 to 15 digits after a plus).  The
 method adds ``iban`` (mod 97), ``short_card`` (13 to 15 digits, Luhn, context),
 ``national_id`` and ``local_phone`` (context).  A span's score starts at its kind's
-prior and gains from context words before or after it; added kinds need
-``THRESHOLD``, and never overlap a base span.
+prior and gains from context words in the ``BEFORE`` characters before it or the
+``AFTER`` behind it, across other matches; added kinds need ``THRESHOLD``, and never
+overlap a base span.
 
 Cases: null text counts as empty and has no spans; offsets are code points, end
 exclusive; repeated rows each return a row; an empty table gives no rows; only the
@@ -25,6 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 THRESHOLD = 0.5
+BEFORE, AFTER = 48, 24
 _SPAN = "array<struct<start:int,end:int,score:double>>"
 _LOCAL = "A-Za-z0-9._%+-"
 
@@ -89,22 +91,27 @@ def spans(text: Column, kind: Kind) -> Column:
     """Array of (start, end, score) of the confirmed matches, in order."""
     pieces = F.split(text, kind.pattern, -1)
     found = F.regexp_extract_all(text, F.lit(kind.pattern), F.lit(0))
-    after = F.slice(pieces, 2, F.size(pieces))
+    # A match has two characters at least, so this many pairs hold what lies behind one.
+    pair = lambda x: F.left(F.concat(x["piece"], F.coalesce(x["match"], F.lit(""))), F.lit(AFTER))
+    behind = lambda pairs: F.transform(pairs, lambda _, i: F.left(F.array_join(F.slice(pairs, i + 2, AFTER // 2), ""), F.lit(AFTER)))
+    after = F.transform(F.array(F.transform(F.arrays_zip(pieces.alias("piece"), found.alias("match")), pair)), behind)[0]
     near = rf"\b(?:{kind.context})"
 
     def fold(state: Column, x: Column) -> Column:
         start = state["at"] + F.length(x["piece"])
         end = start + F.length(F.coalesce(x["match"], F.lit("")))
-        hit = F.lower(F.right(x["piece"], F.lit(48))).rlike(near) | F.lower(F.left(F.coalesce(x["next"], F.lit("")), F.lit(24))).rlike(near)
+        before = F.right(F.concat(state["seen"], x["piece"]), F.lit(BEFORE))
+        hit = F.lower(before).rlike(near) | F.lower(x["next"]).rlike(near)
         score = F.lit(kind.prior) + F.when(hit, (1 - kind.prior) / 2 if kind.base else 0.45).otherwise(0.0)
         good = valid(kind.name, x["match"])
         if not kind.base:
             good = good & (score >= THRESHOLD)
         span = F.struct(start.alias("start"), end.alias("end"), score.alias("score"))
-        return F.struct(end.alias("at"), F.when(x["match"].isNotNull() & good, F.array_append(state["out"], span)).otherwise(state["out"]).alias("out"))
+        seen = F.right(F.concat(before, F.coalesce(x["match"], F.lit(""))), F.lit(BEFORE))
+        return F.struct(end.alias("at"), seen.alias("seen"), F.when(x["match"].isNotNull() & good, F.array_append(state["out"], span)).otherwise(state["out"]).alias("out"))
 
     zipped = F.arrays_zip(pieces.alias("piece"), found.alias("match"), after.alias("next"))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(_SPAN).alias("out"))
+    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("seen"), F.array().cast(_SPAN).alias("out"))
     folded = F.aggregate(zipped, start, fold, lambda state: state["out"])
     return F.when(text.contains("@") if kind.needs == "@" else text.rlike(kind.needs), folded).otherwise(F.array().cast(_SPAN))
 

@@ -81,6 +81,21 @@ def test_checksums_and_context(spark):
     assert sizes == {1: {"iban": 1}, 2: {}, 3: {"national_id": 1}, 4: {}, 5: {"short_card": 1}, 6: {}, 7: {"local_phone": 1}}
 
 
+def test_context_reaches_across_matches(spark):
+    texts = [
+        "SSNs: 123-45-6789, 987-65-4321", "123-45-6789, 987-65-4321 are ssn", "amex 378282246310005, 371449635398431", "amex 1234567890123, 378282246310005",
+        "phones 555 123 4567, 555 123 4568", "ssn " + "x" * 40 + " 123-45-6789", "ssn " + "x" * 50 + " 123-45-6789", "é😀 ssn 123-45-6789é987-65-4321, 111-22-3333",
+    ]
+    rng = random.Random(3)
+    texts += [", ".join(rng.choice(["ssn", "x", "é" * 9, "123-45-6789", "987-65-4321", "a" * 20]) for _ in range(12)) for _ in range(100)]
+    found = {r.doc_id: r for r in pii.find(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert [len(found[i].national_id) for i in (0, 1, 5, 6, 7)] == [2, 2, 1, 0, 3] and len(found[2].short_card) == 2 and [(x.start, x.end) for x in found[3].short_card] == [(20, 35)] and len(found[4].local_phone) == 2
+    kind = next(k for k in pii.KINDS if k.name == "national_id")
+    for i, text in enumerate(texts):
+        want = [m.span() for m in re.finditer(kind.pattern, text) if any(re.search(rf"\b(?:{kind.context})", x) for x in (text[max(0, m.start() - 48) : m.start()].lower(), text[m.end() : m.end() + 24].lower()))]
+        assert [(x.start, x.end) for x in found[i].national_id] == want, text
+
+
 def test_no_python_in_the_plan(spark):
     plan = pii.find(spark.createDataFrame([(1, "x")], "doc_id long, text string"))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
