@@ -5,10 +5,11 @@ P(word | class).  A word's class is a hash of its ending, so the state-dependent
 part has a fixed size (``STATES`` by ``CLASSES``) and can be sent everywhere, while
 the word counts, which grow with the corpus, stay in a table that is joined.
 
-Training: one pass counts words and neighbouring classes over all training texts;
-the class pairs give a first guess of the states on the driver; then every
-Baum-Welch iteration runs forward-backward over every training text, sums expected
-counts inside each task, and adds the tasks' sums across partitions.
+Training: one pass counts the words of all training texts, another encodes each
+text once as 16-bit word classes, written to the shared folder; neighbouring classes
+give a first guess of the states on the driver; then every Baum-Welch iteration reads
+the encoded texts, runs forward-backward over every one of them, sums expected counts
+inside each task, and adds the tasks' sums across partitions.
 
 Scoring: the scaled forward recursion gives the exact likelihood of a text's class
 sequence, the end included; the words' counts complete it.  The most frequent
@@ -26,17 +27,16 @@ table gives no rows; only the id and the text are read.
 
 from __future__ import annotations
 
-import zlib
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, checkpointed, slices
+from .common import SPACE_BYTES, as_bytes, checkpointed, slices
 
 STATES = 8
 CLASSES = 2048
@@ -48,53 +48,132 @@ END = b""
 _TOKENS = 1_000_000
 
 
-class ClassOf(dict):
-    """Class of a word: 0 for the end, else a hash of its last four bytes; a bounded cache."""
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
+_BLANK = np.zeros(256, bool)
+_BLANK[list(SPACE_BYTES)] = True
 
-    def __missing__(self, word: bytes) -> int:
-        value = zlib.crc32(word[-4:]) % (CLASSES - 1) + 1 if word else 0
-        if len(self) > 300_000:
-            self.clear()
-        if len(word) <= 64:
-            self[word] = value
-        return value
 
+def flat_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(edges, bytes) of a string or binary column, A-Z lower-cased in strings: value i lies between edges i and i + 1; null is empty."""
+    wide = pa.types.is_large_string(column.type) or pa.types.is_large_binary(column.type)
+    text = pa.types.is_large_string(column.type) or pa.types.is_string(column.type)
+    if column.null_count:
+        column = column.fill_null("" if text else b"")
+    _, edges, data = column.buffers()
+    if data is None or not len(column):
+        return np.zeros(len(column) + 1, np.int64), np.zeros(0, np.uint8)
+    edges = np.frombuffer(edges, np.int64 if wide else np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
+    data = np.frombuffer(data, np.uint8)[edges[0] : edges[-1]]
+    return edges - edges[0], _LOWER[data] if text else data
 
-def tokens(text: bytes) -> list[bytes]:
-    return [*text.lower().split(), END]
+
+def class_stream(edges: np.ndarray, data: np.ndarray) -> np.ndarray:
+    """Classes of all words of lower-cased texts, in order, with 0 for the end after each text.
+
+    A word's class is a hash of its last four bytes.
+    """
+    blank = _BLANK[data]
+    edge = np.zeros(len(data) + 1, bool)
+    edge[edges] = True
+    last, first = ~blank, ~blank
+    last[:-1] &= blank[1:] | edge[1:-1]
+    first[1:] &= blank[:-1] | edge[1:-1]
+    ends, starts = np.flatnonzero(last), np.flatnonzero(first)
+    size = ends - starts
+    key = np.zeros(len(ends), np.uint32)
+    for i in range(4):
+        held = size >= i
+        key[held] |= data[ends[held] - i].astype(np.uint32) << np.uint32(8 * i)
+    key *= np.uint32(2654435761)
+    key ^= key >> np.uint32(15)
+    key *= np.uint32(2246822519)
+    key ^= key >> np.uint32(13)
+    out = np.zeros(len(key) + len(edges) - 1, np.uint16)
+    out[np.arange(len(key)) + np.searchsorted(edges[1:], starts, "right")] = key % np.uint32(CLASSES - 1) + np.uint32(1)
+    return out
+
+
+def word_classes(words: pa.Array) -> np.ndarray:
+    """The class of each of some lower-cased words; the empty word is the end."""
+    edges, data = flat_bytes(words)
+    out = np.zeros(len(words), np.int32)
+    stream = class_stream(edges, data)
+    out[np.diff(edges) > 0] = stream[stream > 0]
+    return out
+
+
+def split_words(edges: np.ndarray, data: np.ndarray) -> tuple[pa.Array, np.ndarray]:
+    """(words as binary, number of the text of each): the words of all texts, then one end (empty) for each text."""
+    texts = pa.Array.from_buffers(pa.large_string(), len(edges) - 1, [None, pa.py_buffer(edges), pa.py_buffer(data)])
+    lists = pc.ascii_split_whitespace(texts)  # splits at the six characters of SPACE_BYTES, and at no others
+    words = lists.flatten().cast(pa.large_binary())
+    rows = pc.list_parent_indices(lists)
+    full = pc.greater(pc.binary_length(words), 0)  # white space at the start or end of a text leaves empty pieces
+    n = len(edges) - 1
+    return pa.concat_arrays([words.filter(full), pa.array([END] * n, pa.large_binary())]), np.concatenate([rows.filter(full).to_numpy(), np.arange(n)])
 
 
 def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
 
 
-def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Partial counts: (word, class, null, n) of words, (null, class, next class, n) of coarse neighbours."""
-    schema = pa.schema([("word", pa.binary()), ("g", pa.int32()), ("after", pa.int32()), ("n", pa.int64())])
-    words: Counter = Counter()
-    of = ClassOf()
+def _encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row per text: its class stream as 16-bit integers."""
+    for batch in slices(batches, 4 << 20):
+        edges, data = flat_bytes(batch.column(1))
+        stream = class_stream(edges, data)
+        at = np.concatenate(([0], np.flatnonzero(stream == 0) + 1)) * 2
+        yield pa.RecordBatch.from_arrays([pa.Array.from_buffers(pa.binary(), len(at) - 1, [None, pa.py_buffer(at.astype(np.int32)), pa.py_buffer(stream)])], names=["classes"])
+
+
+def _lots(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
+    """Encoded texts, end to end, in lots of about ``_TOKENS``, or one text."""
+    lot, size = [], 0
+    for batch in slices(batches, 2 * _TOKENS):
+        stream = flat_bytes(batch.column(0))[1].view(np.uint16)
+        if lot and size + len(stream) > _TOKENS:
+            yield np.concatenate(lot)
+            lot, size = [], 0
+        lot.append(stream)
+        size += len(stream)
+    if lot:
+        yield np.concatenate(lot)
+
+
+def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(i, n): counts of neighbouring classes, in groups of ``COARSE``, summed within a task."""
     size = CLASSES // COARSE
     pairs = np.zeros(size * size, np.int64)
+    for stream in _lots(batches):
+        inside = stream[:-1] != 0
+        pairs += np.bincount(stream[:-1][inside].astype(np.int64) // COARSE * size + stream[1:][inside] // COARSE, minlength=size * size)
+    at = np.flatnonzero(pairs)
+    yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(pairs[at])], names=["i", "n"])
+
+
+def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Partial counts of words: (word, class, n), merged within a task while they are few."""
+    parts: list[pa.Table] = []
 
-    def flush():
-        keys = list(words)
-        out = pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array([of[w] for w in keys], pa.int32()), pa.nulls(len(keys), pa.int32()), pa.array([words[w] for w in keys], pa.int64())], schema=schema)
-        words.clear()
-        return out
+    def merged() -> pa.Table:
+        return pa.concat_tables(parts).group_by("word", use_threads=False).aggregate([("n", "sum")]).rename_columns(["word", "n"])
+
+    def rows(table: pa.Table) -> Iterator[pa.RecordBatch]:
+        for piece in table.combine_chunks().to_batches(max_chunksize=100_000):
+            yield pa.RecordBatch.from_arrays([piece.column(0).cast(pa.binary()), pa.array(word_classes(piece.column(0))), piece.column(1)], names=["word", "g", "n"])
 
     for batch in slices(batches, 4 << 20):
-        flat: list[bytes] = []
-        for text in as_bytes(batch.column(1)):
-            flat += tokens(text)
-        words.update(flat)
-        g = np.fromiter(map(of.__getitem__, flat), np.int64, len(flat))
-        inside = g[:-1] != 0
-        pairs += np.bincount(g[:-1][inside] // COARSE * size + g[1:][inside] // COARSE, minlength=size * size)
-        if len(words) > 600_000:
-            yield flush()
-    yield flush()
-    at = np.flatnonzero(pairs)
-    yield pa.RecordBatch.from_arrays([pa.nulls(len(at), pa.binary()), pa.array((at // size).astype(np.int32)), pa.array((at % size).astype(np.int32)), pa.array(pairs[at])], schema=schema)
+        words, _ = split_words(*flat_bytes(batch.column(1)))
+        found = pc.value_counts(words)
+        parts.append(pa.table({"word": found.field(0), "n": found.field(1)}))
+        if sum(p.num_rows for p in parts) > 1_000_000:
+            parts = [merged()]
+            if parts[0].num_rows > 600_000:
+                yield from rows(parts[0])
+                parts = []
+    if parts:
+        yield from rows(merged())
 
 
 @dataclass
@@ -142,29 +221,29 @@ class States:
         return cls(s / s.sum(), m / m.sum(1, keepdims=True), e / e.sum(1, keepdims=True))
 
 
-def _by_step(sequences: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, list[int]]:
-    """Order (longest first), all values by step and then by sequence, and where each step starts.
+def _by_step(stream: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[int]]:
+    """Order (longest first), all classes by step and then by sequence, and where each step starts.
 
-    The values of a step stand together, so every step of a recursion works on slices.
+    The classes of a step stand together, so every step of a recursion works on slices.
     """
-    sizes = np.array([len(s) for s in sequences])
+    starts = np.concatenate(([0], np.flatnonzero(stream == 0) + 1))
+    sizes = np.diff(starts)
     order = np.argsort(-sizes, kind="stable")
-    sizes = sizes[order]
+    sizes, starts = sizes[order], starts[:-1][order]
     active = len(sizes) - np.searchsorted(sizes[::-1], np.arange(int(sizes[0])), "right")
     edges = np.concatenate(([0], np.cumsum(active)))
     step = np.arange(edges[-1]) - np.repeat(np.cumsum(sizes) - sizes, sizes)
     values = np.empty(edges[-1], np.int64)
-    values[edges[step] + np.repeat(np.arange(len(sizes)), sizes)] = np.concatenate([sequences[i] for i in order])
+    values[edges[step] + np.repeat(np.arange(len(sizes)), sizes)] = stream[np.repeat(starts, sizes) + step]
     return order, values, edges.tolist()
 
 
-def forward(sequences: list[np.ndarray], states: States) -> np.ndarray:
-    """Natural log-likelihood of each class sequence, by the scaled forward recursion."""
-    out = np.zeros(len(sequences))
-    order, values, edges = _by_step(sequences)
+def forward(stream: np.ndarray, states: States) -> np.ndarray:
+    """Natural log-likelihood of each sequence of the stream, by the scaled forward recursion."""
+    order, values, edges = _by_step(stream)
     emit, move = np.ascontiguousarray(states.emit.T), states.move
-    logs = np.zeros(len(sequences))
-    alpha = np.broadcast_to(states.start, (len(sequences), len(states.start)))
+    out, logs = np.zeros(len(order)), np.zeros(len(order))
+    alpha = np.broadcast_to(states.start, (len(order), len(states.start)))
     for t, (start, end) in enumerate(zip(edges, edges[1:], strict=False)):
         n = end - start
         b = emit[values[start:end]]
@@ -177,13 +256,13 @@ def forward(sequences: list[np.ndarray], states: States) -> np.ndarray:
     return out
 
 
-def expected_counts(sequences: list[np.ndarray], states: States) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
+def expected_counts(stream: np.ndarray, states: States) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
     """Baum-Welch: expected starts, moves and emissions, and the log-likelihood."""
-    _, values, edges = _by_step(sequences)
+    order, values, edges = _by_step(stream)
     k = len(states.start)
     emit, move = np.ascontiguousarray(states.emit.T), states.move
     alphas, scales = np.empty((len(values), k)), np.empty(len(values))
-    alpha = np.broadcast_to(states.start, (len(sequences), k))
+    alpha = np.broadcast_to(states.start, (len(order), k))
     for t, (start, end) in enumerate(zip(edges, edges[1:], strict=False)):
         b = emit[values[start:end]]
         b *= alpha[: end - start] @ move if t else alpha
@@ -191,7 +270,7 @@ def expected_counts(sequences: list[np.ndarray], states: States) -> tuple[np.nda
         alpha = np.divide(b, scale[:, None], out=alphas[start:end])
         scales[start:end] = scale
     moves = np.zeros((k, k))
-    beta = np.ones((len(sequences), k))
+    beta = np.ones((len(order), k))
     back_move = np.ascontiguousarray(move.T)
     for t in range(len(edges) - 2, -1, -1):
         start, end = edges[t], edges[t + 1]
@@ -210,34 +289,19 @@ def expected_counts(sequences: list[np.ndarray], states: States) -> tuple[np.nda
     return starts, moves * move, emits, float(np.log(scales).sum())
 
 
-def _grouped(batches: Iterator[pa.RecordBatch], of: ClassOf) -> Iterator[list[np.ndarray]]:
-    """Class sequences in lots of at most ``_TOKENS``, or one."""
-    lot, size = [], 0
-    for batch in slices(batches, 4 << 20):
-        for text in as_bytes(batch.column(1)):
-            words = tokens(text)
-            if lot and size + len(words) > _TOKENS:
-                yield lot
-                lot, size = [], 0
-            lot.append(np.fromiter(map(of.__getitem__, words), np.int64, len(words)))
-            size += len(words)
-    if lot:
-        yield lot
-
-
-def baum_welch(texts: DataFrame, states: States, class_counts: np.ndarray) -> tuple[States, float]:
-    """One iteration over all of ``texts`` (``doc_id, text``); returns also the log-likelihood before it."""
+def baum_welch(encoded: DataFrame, states: States, class_counts: np.ndarray) -> tuple[States, float]:
+    """One iteration over all ``encoded`` texts (``classes``); returns also the log-likelihood before it."""
     k = len(states.start)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(k + k * k + k * CLASSES + 1)
-        for lot in _grouped(batches, ClassOf()):
+        for lot in _lots(batches):
             s, m, e, like = expected_counts(lot, states)
             total += np.concatenate([s, m.ravel(), e.ravel(), [like]])
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["i", "v"])
 
-    made = texts.mapInArrow(run, "i long, v double").groupBy("i").agg(F.sum("v").alias("v")).toPandas()
+    made = encoded.mapInArrow(run, "i long, v double").groupBy("i").agg(F.sum("v").alias("v")).toPandas()
     total = np.zeros(k + k * k + k * CLASSES + 1)
     total[made["i"].to_numpy(np.int64)] = made["v"].to_numpy()
     return States.from_counts(total[:k], total[k : k + k * k].reshape(k, k), total[k + k * k : -1].reshape(k, CLASSES), class_counts), float(total[-1])
@@ -256,17 +320,18 @@ class HiddenMarkovModel:
     @classmethod
     def train(cls, docs: DataFrame, iterations: int = ITERATIONS, states: int = STATES, id_col: str = "doc_id", text_col: str = "text") -> HiddenMarkovModel:
         texts = _texts(docs, id_col, text_col)
-        made = checkpointed(texts.mapInArrow(_count, "word binary, g int, after int, n long").groupBy("word", "g", "after").agg(F.sum("n").alias("n")))
-        counts = made.filter("word is not null").select("word", "g", "n")
+        encoded = checkpointed(texts.mapInArrow(_encode, "classes binary"))
+        counts = checkpointed(texts.mapInArrow(_count, "word binary, g int, n long").groupBy("word", "g").agg(F.sum("n").alias("n")))
         by_class = counts.groupBy("g").agg(F.sum("n").alias("n"), F.count("*").alias("v")).toPandas()
         class_tokens, class_distinct = np.zeros(CLASSES, np.int64), np.zeros(CLASSES, np.int64)
         class_tokens[by_class["g"].to_numpy(int)], class_distinct[by_class["g"].to_numpy(int)] = by_class["n"].to_numpy(int), by_class["v"].to_numpy(int)
-        near = made.filter("word is null").select("g", "after", "n").toPandas()  # at most (CLASSES / COARSE) squared rows
-        pairs = np.zeros((CLASSES // COARSE,) * 2)
-        pairs[near["g"].to_numpy(int), near["after"].to_numpy(int)] = near["n"].to_numpy(float)
+        near = encoded.mapInArrow(_neighbours, "i long, n long").groupBy("i").agg(F.sum("n").alias("n")).toPandas()  # at most (CLASSES / COARSE) squared rows
+        pairs = np.zeros((CLASSES // COARSE) ** 2)
+        pairs[near["i"].to_numpy(int)] = near["n"].to_numpy(float)
+        pairs = pairs.reshape(CLASSES // COARSE, -1)
         model, likelihoods = States.guess(pairs, class_tokens.astype(float), states), []
         for _ in range(iterations if class_tokens.sum() else 0):
-            model, like = baum_welch(texts, model, class_tokens.astype(float))
+            model, like = baum_welch(encoded, model, class_tokens.astype(float))
             likelihoods.append(like)
         return cls(model, counts, int(class_tokens.sum()), int(class_distinct.sum()), class_tokens, class_distinct, likelihoods)
 
@@ -292,7 +357,7 @@ class HiddenMarkovModel:
         log_rest = np.log10(self.class_tokens + 0.5 * (self.class_distinct + 1))
         spark = docs.sparkSession
         top = self.frequent().toPandas()
-        head = spark.sparkContext.broadcast(dict(zip(map(bytes, top["word"]), np.log10(top["n"].to_numpy(float) + 0.5).tolist(), strict=True)))
+        head = spark.sparkContext.broadcast((pa.array(list(map(bytes, top["word"])), pa.large_binary()), np.append(np.log10(top["n"].to_numpy(float) + 0.5), 0.0)))
         schema = pa.schema([("word", pa.binary()), ("doc_id", pa.int64()), ("text_hash", pa.int64()), ("times", pa.int64()), ("n_tokens", pa.int64()), ("n_head", pa.int64()), ("head_log", pa.float64()), ("model_log", pa.float64())])
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -302,34 +367,30 @@ class HiddenMarkovModel:
             """
             import xxhash
 
-            known, of = head.value, ClassOf()
+            known, logs = head.value
             for batch in slices(batches, 8 << 20):
-                ids, texts = batch.column(0).to_pylist(), as_bytes(batch.column(1))
-                sequences, own = [], []
-                rest_words: list[bytes] = []
-                rest_times: list[int] = []
-                rest_rows, hashes = [], []
-                for doc_id, text in zip(ids, texts, strict=True):
-                    words = tokens(text)
-                    g = np.fromiter(map(of.__getitem__, words), np.int64, len(words))
-                    sequences.append(g)
-                    logs = list(map(known.get, words))
-                    unseen = [w for w, x in zip(words, logs, strict=True) if x is None]
-                    found = [x for x in logs if x is not None] if unseen else logs
-                    hashes.append(int(np.uint64(xxhash.xxh64_intdigest(text)).view(np.int64)))
-                    own.append((b"\xff" + text[:8] + hashes[-1].to_bytes(8, "little", signed=True), doc_id, hashes[-1], None, len(words), len(found), float(sum(found)), -float(log_rest[g].sum())))
-                    tail = Counter(unseen)
-                    rest_words += tail.keys()
-                    rest_times += tail.values()
-                    rest_rows.append(len(tail))
-                if not own:
+                n_texts = batch.num_rows
+                if not n_texts:
                     continue
-                columns = [pa.array(c, t.type) for c, t in zip(zip(*own, strict=True), schema, strict=True)]
-                columns[7] = pa.array(np.array(columns[7]) + forward(sequences, states) / np.log(10.0))
-                yield pa.RecordBatch.from_arrays(columns, schema=schema)
-                at = pa.array(np.repeat(np.arange(len(ids)), rest_rows))
-                first = [pa.array(rest_words, pa.binary()), columns[1].take(at), columns[2].take(at), pa.array(rest_times, pa.int64())]
-                yield pa.RecordBatch.from_arrays([*first, *[pa.nulls(len(at), t.type) for t in list(schema)[4:]]], schema=schema)
+                edges, data = flat_bytes(batch.column(1))
+                stream = class_stream(edges, data)
+                words, rows = split_words(edges, data)
+                at = pc.index_in(words, value_set=known)
+                found = at.is_valid().to_numpy(zero_copy_only=False)
+                head_log = np.bincount(rows, logs[at.fill_null(len(known)).to_numpy()], n_texts)
+                n_head = np.bincount(rows, found, n_texts).astype(np.int64)
+                sizes = np.diff(np.flatnonzero(stream == 0), prepend=-1)
+                rest = np.add.reduceat(log_rest[stream], np.cumsum(sizes) - sizes)
+                model_log = forward(stream, states) / np.log(10.0) - rest
+                texts = as_bytes(batch.column(1))
+                hashes = np.array([xxhash.xxh64_intdigest(x) for x in texts], np.uint64).view(np.int64)
+                keys = [b"\xff" + x[:8] + h for x, h in zip(texts, map(bytes, hashes.view("V8")), strict=True)]
+                ids, hashes = batch.column(0), pa.array(hashes)
+                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), ids, hashes, pa.nulls(n_texts, pa.int64()), pa.array(sizes), pa.array(n_head), pa.array(head_log), pa.array(model_log)], schema=schema)
+                tail = pa.table({"row": rows[~found], "word": words.filter(pa.array(~found))}).group_by(["row", "word"], use_threads=False).aggregate([([], "count_all")]).combine_chunks()
+                for piece in tail.to_batches(max_chunksize=100_000):
+                    row = piece.column(0)
+                    yield pa.RecordBatch.from_arrays([piece.column(1).cast(pa.binary()), ids.take(row), hashes.take(row), piece.column(2), *[pa.nulls(len(row), t.type) for t in list(schema)[4:]]], schema=schema)
 
         pieces = _texts(docs, id_col, text_col).mapInArrow(run, "word binary, doc_id long, text_hash long, times long, n_tokens long, n_head long, head_log double, model_log double")
         joined = pieces.join(self.counts.select("word", "n"), "word", "left")

@@ -5,6 +5,7 @@ from collections import Counter
 from itertools import product
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from chronaxis.llm import hidden_markov as hm
@@ -27,7 +28,7 @@ def tiny(seed=0):
 
 def test_forward_equals_sum_over_paths():
     states, sequences = tiny(), [np.array([5, 9, 0]), np.array([0]), np.array([7, 7, 7, 0])]
-    got = hm.forward(sequences, states)
+    got = hm.forward(np.concatenate(sequences), states)
     for like, seq in zip(got, sequences, strict=True):
         total = 0.0
         for path in product(range(3), repeat=len(seq)):
@@ -40,7 +41,7 @@ def test_forward_equals_sum_over_paths():
 
 def test_expected_counts_equal_sum_over_paths():
     states, sequences = tiny(1), [np.array([5, 9, 0]), np.array([9, 5, 5, 0]), np.array([0])]
-    starts, moves, emits, like = hm.expected_counts(sequences, states)
+    starts, moves, emits, like = hm.expected_counts(np.concatenate(sequences), states)
     want_s, want_m, want_e = np.zeros(3), np.zeros((3, 3)), np.zeros((3, hm.CLASSES))
     for seq in sequences:
         paths = list(product(range(3), repeat=len(seq)))
@@ -54,7 +55,24 @@ def test_expected_counts_equal_sum_over_paths():
     assert starts == pytest.approx(want_s, abs=1e-5)
     assert moves == pytest.approx(want_m, abs=1e-5)
     assert emits == pytest.approx(want_e, abs=1e-5)
-    assert like == pytest.approx(hm.forward(sequences, states).sum())
+    assert like == pytest.approx(hm.forward(np.concatenate(sequences), states).sum())
+
+
+def test_streams_hold_every_word():
+    texts = [" Ab  c\n", None, "", "\x1c \x85\tÜber ABER", "x", " ", "über aber"]
+    column = pa.array(["left out", *texts], pa.string()).slice(1)
+    edges, data = hm.flat_bytes(column)
+    words, rows = hm.split_words(edges, data)
+    got = [[] for _ in texts]
+    for w, r in zip(words.to_pylist(), rows, strict=True):
+        got[r].append(w)
+    assert got == [words_of(t) for t in texts]
+    stream = hm.class_stream(edges, data)
+    assert stream.tolist() == [c for t in texts for c in hm.word_classes(pa.array(words_of(t), pa.binary()))]
+    assert np.array_equal(hm.word_classes(pa.array([b"xaber", b"aber"])), hm.word_classes(pa.array([b"yaber", b"aber"]))) and (stream == 0).sum() == len(texts)
+    encoded = next(hm._encode(iter([pa.record_batch([pa.nulls(len(texts)), column], names=["doc_id", "text"])])))
+    assert [np.frombuffer(x, np.uint16)[-1] for x in encoded.column(0).to_pylist()] == [0] * len(texts)
+    assert np.array_equal(next(hm._lots(iter([encoded]))), stream)
 
 
 def test_likelihood_grows(spark):
@@ -83,12 +101,11 @@ def test_query_equals_brute_force(spark, tmp_path, monkeypatch, head):
     from pyspark.sql import functions as F
 
     model = hm.HiddenMarkovModel.train(docs.filter(crc_bucket(F.col("doc_id"), 5) != 1))
-    of = hm.ClassOf()
     plain = []
     for r in rows:
         w = words_of(r[1])
-        g = np.array([of[x] for x in w])
-        like = hm.forward([g], model.states)[0] / math.log(10)
+        g = hm.word_classes(pa.array(w, pa.binary()))
+        like = hm.forward(g, model.states)[0] / math.log(10)
         plain.append((str(r[0]), round(like + sum(math.log10((counts[x] + 0.5) / (model.class_tokens[c] + 0.5 * (model.class_distinct[c] + 1))) for x, c in zip(w, g, strict=True)), 4)))
     for (a, x), (b, y) in zip(sorted(plain), sorted((str(r.doc_id), r.score) for r in got), strict=True):
         assert a == b and x == pytest.approx(y, rel=1e-4)
