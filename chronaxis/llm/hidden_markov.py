@@ -45,7 +45,7 @@ HEAD = 100_000
 HEAD_BYTES = 48
 ITERATIONS = 2
 END = b""
-_TOKENS = 1_000_000
+_TOKENS = 1_500_000
 
 
 _LOWER = np.arange(256, dtype=np.uint8)
