@@ -9,7 +9,8 @@ Training: one pass counts the words of all training texts, another encodes each
 text once as 16-bit word classes, written to the shared folder; neighbouring classes
 give a first guess of the states on the driver; then every Baum-Welch iteration reads
 the encoded texts, runs forward-backward over every one of them, sums expected counts
-inside each task, and adds the tasks' sums across partitions.
+inside each task, and adds the tasks' sums across partitions.  It stops after
+``ITERATIONS``, or where an iteration gained less than ``TOLERANCE`` a token.
 
 Scoring: the scaled forward recursion gives the exact likelihood of a text's class
 sequence, the end included; the words' counts complete it.  The most frequent
@@ -43,9 +44,10 @@ CLASSES = 2048
 COARSE = 8  # neighbouring classes are counted in groups of this many
 HEAD = 100_000
 HEAD_BYTES = 48
-ITERATIONS = 2
+ITERATIONS = 4  # at most
+TOLERANCE = 0.01  # least gain a token, in nats, that is worth another iteration
 END = b""
-_TOKENS = 1_500_000
+_TOKENS = 1_000_000
 
 
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -333,6 +335,8 @@ class HiddenMarkovModel:
         for _ in range(iterations if class_tokens.sum() else 0):
             model, like = baum_welch(encoded, model, class_tokens.astype(float))
             likelihoods.append(like)
+            if len(likelihoods) > 1 and like - likelihoods[-2] < TOLERANCE * class_tokens.sum():
+                break
         return cls(model, counts, int(class_tokens.sum()), int(class_distinct.sum()), class_tokens, class_distinct, likelihoods)
 
     def frequent(self) -> DataFrame:
@@ -368,7 +372,7 @@ class HiddenMarkovModel:
             import xxhash
 
             known, logs = head.value
-            for batch in slices(batches, 8 << 20):
+            for batch in slices(batches, 4 << 20):
                 n_texts = batch.num_rows
                 if not n_texts:
                     continue
