@@ -74,3 +74,25 @@ def join_to_groups(rows: DataFrame, groups: DataFrame, key: str, size: str, hot:
         rows.join(F.broadcast(big), key)
         .unionByName(rows.join(F.broadcast(big.select(key)), key, "left_anti").join(groups.filter(F.col(size) <= limit), key))
     )
+
+
+def row_hash(df: DataFrame, *first: str) -> Column:
+    """A hash of all columns that can be hashed (maps can't), those in ``first`` included; equal for repeated rows."""
+    return F.xxhash64(*first, *[F.col(f"`{c}`") for c, kind in df.dtypes if "map<" not in kind and "variant" not in kind and c not in first])
+
+
+def fetch(docs: DataFrame, keys: dict[str, Column], winners: DataFrame) -> DataFrame:
+    """The rows of ``docs`` whose keys are in ``winners`` (the key columns and ``times``, the rows that have them).
+
+    One semi-join fetches the rows, hashed on the narrow side so that no text is
+    sorted.  Only where a winner is a repeated row are rows deduplicated besides,
+    and then partly before the shuffle, so a row repeated any number of times meets
+    in no task.  The row travels as one struct, so that its names can't clash.
+    """
+    names = list(keys)
+    keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), *[c.alias(name) for name, c in keys.items()])
+    single = keyed.join(winners.filter("times = 1").select(*names).hint("shuffle_hash"), names, "left_semi")
+    again = winners.filter("times > 1").select(*names)
+    if again.take(1):
+        single = single.unionByName(keyed.dropDuplicates(names).join(again.hint("shuffle_hash"), names, "left_semi"))
+    return single.select("row.*")

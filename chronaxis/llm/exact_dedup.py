@@ -1,13 +1,19 @@
 """Exact deduplication against a persistent digest index.
 
 The index is a table, bucketed and sorted by digest, with one row for each text
-ever seen.  New data is reduced to digests, anti-joined with the index (a
-sort-merge join that doesn't shuffle the index) and what is new is appended.
+ever seen and the batch that brought it.  New data is reduced to digests and
+anti-joined with what other batches brought (a sort-merge join that doesn't shuffle
+the index); what is new is appended.
+
+A batch has a name, and only other batches make its texts known.  So a job that
+failed after the append may be run again under the same name: it finds the same
+texts new, and appends nothing twice.
 
 Cases: null text counts as empty; rows whose texts are equal after the white space
 is deleted form a group; the longest original text stays, then the smallest id
-(null ids first), then the first row; repeated rows leave one kept row; an empty
-table gives no rows; further columns of the input are neither read nor returned.
+(null ids first), then the first row (in :func:`drop_copies`: that with the smallest
+hash of all columns); repeated rows leave one kept row; an empty table gives no rows;
+further columns may have any names.
 """
 
 from __future__ import annotations
@@ -17,7 +23,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SPACE, checkpointed, join_to_groups, shared_folder
+from .common import SPACE, checkpointed, fetch, join_to_groups, row_hash, shared_folder
 
 
 def digest(text: Column) -> Column:
@@ -26,9 +32,9 @@ def digest(text: Column) -> Column:
 
 
 class DigestIndex:
-    """The persistent index: ``text_sha256, keep_id, keep_row, group_size``."""
+    """The persistent index: ``text_sha256, keep_id, group_size, batch``.  Leaving a ``with`` block drops it."""
 
-    SCHEMA = "text_sha256 string, keep_id long, keep_row long, group_size long"
+    SCHEMA = "text_sha256 string, keep_id long, group_size long, batch string"
 
     def __init__(self, spark: SparkSession, table: str, path: str | None = None, buckets: int = 64):
         self.spark, self.table, self.buckets = spark, table, buckets
@@ -42,6 +48,19 @@ class DigestIndex:
         name = f"digest_index_{uuid.uuid4().hex}"
         return cls(spark, name, f"{shared_folder(spark)}/{name}", buckets)
 
+    def __enter__(self) -> DigestIndex:
+        return self
+
+    def __exit__(self, *error) -> None:
+        self.drop()
+
+    def drop(self) -> None:
+        """Drop the table and delete its files."""
+        self.spark.sql(f"drop table if exists {self.table}")
+        if self.path:
+            path = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
+            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+
     def _write(self, df: DataFrame) -> None:
         writer = df.write.mode("append").format("parquet").bucketBy(self.buckets, "text_sha256").sortBy("text_sha256")
         if self.path:
@@ -51,19 +70,26 @@ class DigestIndex:
     def read(self) -> DataFrame:
         return self.spark.table(self.table)
 
-    def new_only(self, groups: DataFrame) -> DataFrame:
-        """The groups whose digest isn't in the index yet (sort-merge anti-join)."""
-        return groups.join(self.read().select("text_sha256").hint("merge"), "text_sha256", "left_anti")
+    def new_only(self, groups: DataFrame, batch: str) -> DataFrame:
+        """The groups whose digest no other batch brought (sort-merge anti-join)."""
+        return groups.join(self.read().filter(F.col("batch") != batch).select("text_sha256").hint("merge"), "text_sha256", "left_anti")
+
+    def known(self, groups: DataFrame, batch: str) -> DataFrame:
+        """The other groups, with the id that another batch kept as ``keep_id``."""
+        first = self.read().filter(F.col("batch") != batch).select("text_sha256", F.col("keep_id").alias("first_id"))
+        return groups.join(first.hint("merge"), "text_sha256").withColumn("keep_id", F.col("first_id")).drop("first_id")
 
-    def append(self, groups: DataFrame) -> None:
-        """Add what is new.  Running it again adds nothing, so a failed job may be repeated."""
-        self._write(self.new_only(groups).select("text_sha256", "keep_id", "keep_row", "group_size").repartition(self.buckets, "text_sha256"))
+    def append(self, new: DataFrame, batch: str) -> None:
+        """Add what :meth:`new_only` found, but for what an earlier run of the batch has added."""
+        own = self.read().filter(F.col("batch") == batch).select("text_sha256")
+        rows = new.join(own.hint("merge"), "text_sha256", "left_anti").select("text_sha256", "keep_id", "group_size", F.lit(batch).alias("batch"))
+        self._write(rows.repartition(self.buckets, "text_sha256"))
 
 
-def exact_dedup(docs: DataFrame, index: DigestIndex, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per input row: ``doc_id, keep_id, group_size, kept, text_sha256``, plus ``row_id`` and ``known``.
+def exact_dedup(docs: DataFrame, index: DigestIndex, batch: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per input row: ``doc_id, keep_id, group_size, kept, text_sha256``, plus ``known``.
 
-    ``known`` is true if an earlier batch brought the text; then nothing of the
+    ``known`` is true if another batch brought the text; then nothing of the
     group is kept.  ``group_size`` counts the rows of this batch.
     """
     rows = checkpointed(
@@ -74,27 +100,24 @@ def exact_dedup(docs: DataFrame, index: DigestIndex, id_col: str = "doc_id", tex
         .agg(F.min(F.struct((-F.col("n_chars")).alias("n"), "doc_id", "row_id")).alias("best"), F.count("*").alias("group_size"))
         .select("text_sha256", F.col("best.doc_id").alias("keep_id"), F.col("best.row_id").alias("keep_row"), "group_size")
     )
-    fresh = checkpointed(
-        groups.join(index.read().select("text_sha256", F.col("keep_id").alias("first_id"), F.lit(True).alias("known")), "text_sha256", "left")
-        .select("text_sha256", F.when(F.col("known"), F.col("first_id")).otherwise(F.col("keep_id")).alias("keep_id"), "keep_row", "group_size", F.coalesce("known", F.lit(False)).alias("known"))
-    )
-    index.append(groups)
-    return join_to_groups(rows, fresh, "text_sha256", "group_size").select(
-        "doc_id", "keep_id", "group_size", (~F.col("known") & (F.col("row_id") == F.col("keep_row"))).alias("kept"), "text_sha256", "row_id", "known"
-    )
+    new = checkpointed(index.new_only(groups, batch).withColumn("known", F.lit(False)))
+    decided = new.unionByName(checkpointed(index.known(groups, batch).withColumn("known", F.lit(True))))
+    index.append(new, batch)
+    return join_to_groups(rows, decided, "text_sha256", "group_size").select("doc_id", "keep_id", "group_size", (~F.col("known") & (F.col("row_id") == F.col("keep_row"))).alias("kept"), "text_sha256", "known")
 
 
-def drop_copies(docs: DataFrame, index: DigestIndex, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
+def drop_copies(docs: DataFrame, index: DigestIndex, batch: str, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns.
 
-    The winners are found on digests alone; whole rows are shuffled once, by digest,
-    length and id, so that a hot group of copies isn't gathered anywhere.
+    The winners are found on digests and narrow keys alone; whole rows are shuffled
+    once, by a key that differs within a group, so that a hot group of copies isn't
+    gathered anywhere.
     """
-    names = docs.columns
-    keyed = docs.withColumns({"__digest": digest(F.col(text_col)), "__n": -F.length(F.coalesce(F.col(text_col), F.lit(""))), "__id": F.coalesce(F.col(id_col), F.lit(-(2**63)))})
-    groups = keyed.groupBy("__digest").agg(F.min(F.struct("__n", "__id")).alias("best"), F.count("*").alias("group_size"))
-    groups = checkpointed(groups.select(F.col("__digest").alias("text_sha256"), F.col("best.__n").alias("__n"), F.col("best.__id").alias("keep_id"), F.lit(0).cast("long").alias("keep_row"), "group_size"))
-    new = checkpointed(index.new_only(groups).select(F.col("text_sha256").alias("__digest"), "__n", F.col("keep_id").alias("__id")))
-    index.append(groups)
-    keys = ["__digest", "__n", "__id"]  # a hot group has many ids, so its rows are spread
-    return keyed.join(new, keys, "left_semi").dropDuplicates(keys).select(*names)
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    keys = {"digest": digest(F.col(text_col)), "n": -F.length(text), "id": F.coalesce(F.col(id_col).cast("long"), F.lit(-(2**63))), "hash": row_hash(docs)}
+    rows = docs.select(*[c.alias(name) for name, c in keys.items()]).groupBy(*keys).agg(F.count("*").alias("times"))
+    groups = rows.groupBy("digest").agg(F.min(F.struct("n", "id", "hash", "times")).alias("best"), F.sum("times").alias("group_size"))
+    groups = checkpointed(groups.select(F.col("digest").alias("text_sha256"), F.col("best.id").alias("keep_id"), "best", "group_size"))
+    new = checkpointed(index.new_only(groups, batch))
+    index.append(new, batch)
+    return fetch(docs, keys, new.select(F.col("text_sha256").alias("digest"), "best.n", "best.id", "best.hash", "best.times"))

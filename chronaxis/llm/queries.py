@@ -24,7 +24,8 @@ def op1_hidden_markov(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = exact_dedup.exact_dedup(_table(spark, sf_dir, "documents"), exact_dedup.DigestIndex.temporary(spark))
+    with exact_dedup.DigestIndex.temporary(spark) as index:
+        found = exact_dedup.exact_dedup(_table(spark, sf_dir, "documents"), index, "documents")
     return found.select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 

@@ -28,15 +28,15 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, checkpointed, join_to_groups, slices
+from .common import as_bytes, checkpointed, fetch, join_to_groups, row_hash, slices
 
 MAX_BITS = 4
 #: Three of the first seven positional bytes: 35 postings a fingerprint.
 POSTINGS = tuple(combinations(range(7), 3))
-_FP = pa.schema([("doc_id", pa.int64()), ("fp", pa.int64()), ("text_hash", pa.int64())])
+_FP = pa.schema([("doc_id", pa.int64()), ("fp", pa.int64()), ("tie", pa.int64())])
 _LINK = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("list", pa.int64())])
 
 
@@ -60,18 +60,15 @@ def fingerprint(text: bytes, words: int = 4) -> int:
     return int(np.packbits((2 * ones > len(hashes)).astype(np.uint8), bitorder="little").view(np.int64)[0])
 
 
-def fingerprints(docs: DataFrame, words: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, fp, text_hash`` for each row; the last is a hash of the whole text."""
+def fingerprints(docs: DataFrame, words: int = 4, id_col: str = "doc_id", text_col: str = "text", tie: Column | None = None) -> DataFrame:
+    """``doc_id, fp, tie`` for each row; the last is a hash of the whole text unless another is given."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import xxhash
-
         for batch in slices(batches):
-            texts = as_bytes(batch.column(1))
-            whole = np.array([xxhash.xxh64_intdigest(x, 42) for x in texts], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([fingerprint(x, words) for x in texts], pa.int64()), pa.array(whole)], schema=_FP)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([fingerprint(x, words) for x in as_bytes(batch.column(1))], pa.int64()), batch.column(2)], schema=_FP)
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "doc_id long, fp long, text_hash long")
+    text = F.col(text_col).cast("string")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), (F.xxhash64(F.coalesce(text, F.lit(""))) if tie is None else tie).alias("tie")).mapInArrow(run, "doc_id long, fp long, tie long")
 
 
 def _postings(fps: DataFrame) -> DataFrame:
@@ -212,26 +209,25 @@ def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
     return roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct())
 
 
-def near_duplicates(docs: DataFrame, words: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per input row: ``doc_id, fp, component_id, text_hash, kept``.
+def near_duplicates(docs: DataFrame, words: int = 4, id_col: str = "doc_id", text_col: str = "text", tie: Column | None = None) -> DataFrame:
+    """One row per input row: ``doc_id, fp, component_id, tie, kept``.
 
-    ``component_id`` is the smallest id of the component; ``kept`` marks its row.
+    ``component_id`` is the smallest id of the component; ``kept`` marks its row
+    (of several with that id: the one with the smallest tie, see :func:`fingerprints`).
     """
-    rows = checkpointed(fingerprints(docs, words, id_col, text_col))
-    groups = checkpointed(rows.groupBy("fp").agg(F.min(F.struct("doc_id", "text_hash")).alias("least"), F.count("*").alias("copies")))
+    rows = checkpointed(fingerprints(docs, words, id_col, text_col, tie))
+    groups = checkpointed(rows.groupBy("fp").agg(F.min(F.struct("doc_id", "tie")).alias("least"), F.count("*").alias("copies")))
     roots = components(links(groups.select("fp")))
     placed = checkpointed(groups.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "copies", "least", F.coalesce("root", "fp").alias("root")))
     least = placed.groupBy("root").agg(F.min("least").alias("first"), F.count("*").alias("members"))
     placed = checkpointed(join_to_groups(placed, least, "root", "members").select("fp", "copies", "first"))
     joined = join_to_groups(rows, placed, "fp", "copies")
-    return joined.select("doc_id", "fp", F.col("first.doc_id").alias("component_id"), "text_hash", F.struct("doc_id", "text_hash").eqNullSafe(F.col("first")).alias("kept"))
+    return joined.select("doc_id", "fp", F.col("first.doc_id").alias("component_id"), "tie", F.struct("doc_id", "tie").eqNullSafe(F.col("first")).alias("kept"))
 
 
 def drop_near_copies(docs: DataFrame, words: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row of each component, that with the smallest id (then text hash), with all its columns."""
-    keys = ["__id", "__hash"]
-    hashed = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
-    named = docs.withColumns({"__id": F.coalesce(F.col(id_col), F.lit(-(2**63))), "__hash": hashed})
-    found = near_duplicates(docs, words, id_col, text_col).filter("kept")
-    stays = checkpointed(found.select(F.coalesce("doc_id", F.lit(-(2**63))).alias("__id"), F.col("text_hash").alias("__hash")).distinct())
-    return named.join(stays, keys, "left_semi").dropDuplicates(keys).select(*docs.columns)
+    """One row of each component, that with the smallest id (then the smallest hash of all columns), with all its columns."""
+    least = F.lit(-(2**63))
+    found = near_duplicates(docs, words, id_col, text_col, row_hash(docs)).filter("kept")
+    winners = checkpointed(found.groupBy(F.coalesce("doc_id", least).alias("id"), F.col("tie").alias("hash")).agg(F.count("*").alias("times")))
+    return fetch(docs, {"id": F.coalesce(F.col(id_col).cast("long"), least), "hash": row_hash(docs)}, winners)
