@@ -22,14 +22,15 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the lexicon model scores below one half."""
+    """Documents that the lexicon model scores below one half, or in which it finds no term at all, quoted or not."""
     model = ToxicityModel.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return model.keep_clean(docs.select(*COLUMNS))
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of equal texts."""
-    return drop_copies(docs.select(*COLUMNS), DigestIndex.temporary(spark))
+    with DigestIndex.temporary(spark) as index:
+        return drop_copies(docs.select(*COLUMNS), index, "documents")
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
