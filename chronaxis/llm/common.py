@@ -58,15 +58,15 @@ def slices(batches: Iterator[pa.RecordBatch], max_bytes: int = 16 << 20) -> Iter
             yield batch.slice(start, rows)
 
 
-def join_to_groups(rows: DataFrame, groups: DataFrame, key: str, size: str, hot: int = 1000) -> DataFrame:
+def join_to_groups(rows: DataFrame, groups: DataFrame, key: str, size: str, hot: int = 1000, least: int = 1000) -> DataFrame:
     """Inner join of ``rows`` with ``groups``, which has one row a key and the key's row count in ``size``.
 
-    Groups with more than 1/``hot`` of all rows are at most ``hot`` in number, so
-    these may be broadcast whatever the input; all others are joined by shuffle and
-    none of them is large.  No row is dropped: each key is on exactly one side.
+    Groups with more than 1/``hot`` of all rows (and more than ``least``) are at most
+    ``hot`` in number, so these may be broadcast whatever the input; all others are joined
+    by shuffle and none of them is large.  No row is dropped: each key is on exactly one side.
     """
     total = groups.agg(F.sum(size)).first()[0] or 0
-    limit = max(total // hot, hot)
+    limit = max(total // hot, least)
     big = groups.filter(F.col(size) > limit)
     if not big.take(1):
         return rows.join(groups, key)

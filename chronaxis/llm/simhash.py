@@ -36,6 +36,7 @@ from .common import as_bytes, checkpointed, fetch, join_to_groups, row_hash, sli
 MAX_BITS = 4
 #: Three of the first seven positional bytes: 35 postings a fingerprint.
 POSTINGS = tuple(combinations(range(7), 3))
+_SEVEN = np.uint64(0x7F7F7F7F7F7F7F7F)
 _FP = pa.schema([("doc_id", pa.int64()), ("fp", pa.int64()), ("tie", pa.int64())])
 _LINK = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("list", pa.int64())])
 
@@ -102,7 +103,8 @@ def _compare(lists: np.ndarray, fps: np.ndarray) -> tuple[np.ndarray, np.ndarray
         live = live[lists[live] == lists[live + lag]]
         other = live + lag
         differ = whole[live] ^ whole[other]
-        tally = sum(((differ >> np.uint64(8 * p)) & np.uint64(255) == 0).astype(np.int8) for p in range(8)) if len(live) else np.zeros(0, np.int8)
+        # The top bit of each byte that isn't zero: eight less these are the shared positional bytes.
+        tally = 8 - np.bitwise_count((((differ & _SEVEN) + _SEVEN) | differ) & ~_SEVEN).astype(np.int8)
         ok = tally >= 8 - MAX_BITS
         ok[ok] = np.bitwise_count(differ[ok]) <= MAX_BITS
         if ok.any():
@@ -166,9 +168,13 @@ def _centres(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         free = [np.uint64(1 << (8 * p + k)) for p in range(8) if p not in held for k in range(8)]
         masks[i] = np.array([np.uint64(0), *free, *(x | y for x, y in combinations(free, 2))], np.uint64)
     for batch in batches:
-        for fp, key in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            centres = (np.int64(fp).view(np.uint64) ^ masks[key >> 24]).view(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(centres), key)), pa.array(centres), pa.array(np.full(len(centres), fp))], schema=schema)
+        fps, keys = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(2))
+        for choice in np.unique(keys >> 24).tolist():
+            own, mask = np.flatnonzero(keys >> 24 == choice), masks[choice]
+            for at in range(0, len(own), 256):
+                some = own[at : at + 256]
+                centres = (fps[some].view(np.uint64)[:, None] ^ mask[None, :]).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(keys[some], len(mask))), pa.array(centres.ravel()), pa.array(np.repeat(fps[some], len(mask)))], schema=schema)
 
 
 def links(fps: DataFrame, list_limit: int = 20_000) -> DataFrame:
@@ -183,28 +189,27 @@ def links(fps: DataFrame, list_limit: int = 20_000) -> DataFrame:
     return found.distinct()
 
 
-def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
-    """``node, root``: the smallest node reachable from each node that has an edge (columns ``a, b``)."""
+def components(edges: DataFrame) -> DataFrame:
+    """``node, root``: the smallest node reachable from each node that has an edge (columns ``a, b``).
+
+    A node with very many links (the centre of a star, as all become) doesn't meet
+    them in one task: see :func:`join_to_groups`.  Every round shrinks the links or
+    moves them to smaller nodes, so the rounds end, after about the logarithm of the nodes.
+    """
     edges = checkpointed(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct())
 
     def mark(df: DataFrame) -> tuple:
         return tuple(df.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
 
-    before = mark(edges)
-    for _ in range(rounds if before[0] else 0):
+    before, now = None, mark(edges)
+    while now[0] and now != before:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.*").filter("u <> v").distinct()
+        least = checkpointed(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count("*").alias("n")))
+        large = checkpointed(join_to_groups(both.filter("v > u"), least, "u", "n").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
+        least = checkpointed(large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")))
+        small = join_to_groups(large, least, "u", "n").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.*").filter("u <> v").distinct()
         edges = checkpointed(small)
-        now = mark(edges)
-        if now == before:
-            break
-        before = now
-    else:
-        if before[0]:
-            raise RuntimeError("components did not settle")
+        before, now = now, mark(edges)
     roots = edges.groupBy("u").agg(F.min("v").alias("root")).select(F.col("u").alias("node"), "root")
     return roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct())
 

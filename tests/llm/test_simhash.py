@@ -1,9 +1,10 @@
 import random
 
 import numpy as np
+import pytest
 import xxhash
 
-from chronaxis.llm import simhash
+from chronaxis.llm import common, simhash
 from tests.llm.fixtures import awkward, frame, query
 
 
@@ -65,6 +66,17 @@ def test_long_lists_are_exact(spark):
         assert {x: got.get(x, x) for x in signed} == want
 
 
+@pytest.mark.parametrize("hot", [3, 1000])
+def test_components_of_stars_and_paths(spark, monkeypatch, hot):
+    """A star with a third of all links, a long path and small cycles, with and without the split of busy nodes."""
+    monkeypatch.setattr(simhash, "join_to_groups", lambda *a: common.join_to_groups(*a, hot=hot, least=hot))
+    path = list(range(5000, 5200))
+    random.Random(2).shuffle(path)
+    edges = [(-7, i) for i in range(300)] + list(zip(path, path[1:], strict=False)) + [(9000 + i, 9000 + (i + 1) % 5) for i in range(5)]
+    got = {r.node: r.root for r in simhash.components(spark.createDataFrame(edges, "a long, b long").repartition(5)).collect()}
+    assert got == {-7: -7, **dict.fromkeys(range(300), -7), **dict.fromkeys(path, 5000), **dict.fromkeys(range(9000, 9005), 9000)}
+
+
 def test_drop_near_copies(spark):
     docs = frame(spark)
     got = simhash.drop_near_copies(docs)
