@@ -3,12 +3,13 @@
 Characters of the lower-cased text give hashed n-grams of one to three; document
 frequencies are counted over all training rows and summed across partitions.  The
 weights are trained by follow-the-regularised-leader (per-coordinate rates, an L1
-and an L2 penalty), on at most about ``rows_per_class`` rows of each language,
-chosen by a hash of the id; every fifth of those is left out and sets the
+and an L2 penalty), on at most ``rows_per_class`` different texts of each language,
+those with the smallest hashes; every fifth of them is left out and sets the
 temperature of the final probabilities.
 
-Bounds: ``SLOTS`` hashed n-grams and ``MAX_CLASSES`` languages, so model and
-statistics have a fixed size.
+Bounds: ``SLOTS`` hashed n-grams and the ``max_classes`` most frequent languages (then
+by name; rarer ones are neither learned nor predicted), so model, statistics and what
+is sent to the driver have a fixed size, however often a row repeats.
 
 Cases: null, empty or letterless text: ``und`` with score 0; rows with a null
 language are not learned from; no training row at all: everything is ``und``; one
@@ -23,7 +24,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import as_bytes, slices
@@ -157,21 +158,21 @@ def calibrate(logits: np.ndarray, y: np.ndarray) -> float:
     return float(np.exp((low + high) / 2))
 
 
-def train(docs: DataFrame, keep: Column | None = None, rows_per_class: int = ROWS_PER_CLASS, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> LanguageModel:
+def train(docs: DataFrame, keep: Column | None = None, rows_per_class: int = ROWS_PER_CLASS, max_classes: int = MAX_CLASSES, text_col: str = "text", lang_col: str = "lang") -> LanguageModel:
     """Fit on the rows of ``docs`` where ``keep`` holds and the language isn't null."""
-    part = docs.filter(F.col(lang_col).isNotNull() & (F.lit(True) if keep is None else keep)).select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).alias("lang"))
-    sizes = [(r.lang, r.n) for r in part.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_CLASSES + 1).collect()]
+    text, lang = F.coalesce(F.col(text_col).cast("string"), F.lit("")), F.col(lang_col).cast("string")
+    part = docs.filter(lang.isNotNull() & (F.lit(True) if keep is None else keep)).select(text.alias("text"), lang.alias("lang"), F.xxhash64(F.lit("language"), text).alias("h"))
+    sizes = [(r.lang, r.n) for r in part.groupBy("lang", "h").agg(F.count("*").alias("rows")).groupBy("lang").agg(F.sum("rows").alias("rows"), F.count("*").alias("n")).orderBy(F.desc("rows"), "lang").limit(max_classes).collect()]
     if not sizes:
         return LanguageModel([], np.zeros((SLOTS, 0), np.float32), np.zeros(0), np.zeros(SLOTS), 1.0)
-    if len(sizes) > MAX_CLASSES:
-        raise ValueError(f"more than {MAX_CLASSES} languages")
-    seen = document_frequencies(part)
-    idf = np.log((1.0 + seen[SLOTS]) / (1.0 + seen[:SLOTS])) + 1.0
     classes = sorted(x for x, _ in sizes)
-    # A threshold on a hash takes about rows_per_class of each language.
-    odds = F.create_map(*[F.lit(x) for lang, n in sizes for x in (lang, min(1.0, rows_per_class / n))])
-    hashed = F.pmod(F.xxhash64(F.lit("language"), "doc_id", F.xxhash64("text")), F.lit(1_000_000))
-    chosen = part.filter(hashed < odds[F.col("lang")] * 1_000_000).select("lang", hashed.alias("h"), "text")
+    part = part.filter(F.col("lang").isin(classes))
+    seen = document_frequencies(part, "text")
+    idf = np.log((1.0 + seen[SLOTS]) / (1.0 + seen[:SLOTS])) + 1.0
+    # A threshold on the hash admits somewhat more than is wanted of each language; copies go; the smallest hashes stay.
+    share = F.create_map(*[F.lit(x) for lang, n in sizes for x in (lang, min(1.0, (1.3 * rows_per_class + 50) / n))])
+    few = part.filter((F.col("h") / 2.0**64 + 0.5) <= share[F.col("lang")]).dropDuplicates(["lang", "h"])
+    chosen = few.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).filter(F.col("rank") <= rows_per_class).select("lang", "h", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
@@ -182,7 +183,7 @@ def train(docs: DataFrame, keep: Column | None = None, rows_per_class: int = ROW
 
     model = LanguageModel(classes, np.zeros((SLOTS, len(classes)), np.float32), np.zeros(len(classes)), idf, 1.0)
     rows = []
-    for r in sorted(chosen.mapInArrow(run, "lang string, h long, slots binary, n binary").collect(), key=lambda r: (r.h, r.lang, bytes(r.slots))):
+    for r in sorted(chosen.mapInArrow(run, "lang string, h long, slots binary, n binary").collect(), key=lambda r: (r.h, r.lang)):
         slots, n = np.frombuffer(bytes(r.slots), np.uint32).astype(np.int64), np.frombuffer(bytes(r.n), np.uint32)
         if len(slots):
             x = (1 + np.log(n)) * idf[slots]

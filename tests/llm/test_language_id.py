@@ -1,6 +1,9 @@
+import math
 import zlib
+from collections import Counter, defaultdict
 
 import numpy as np
+import xxhash
 
 from chronaxis.llm import language_id as li
 from tests.llm.fixtures import awkward, query
@@ -46,6 +49,89 @@ def test_held_out_accuracy(spark):
     assert all(0 <= r.score <= 1 for r in got.values())
 
 
+def plain_grams(text):
+    """Slots and counts, character by character."""
+    codes, m, out = [ord(c) for c in text.lower()], 2**32 - 1, Counter()
+    for i, c in enumerate(codes):
+        out[(c * 2654435761 & m) >> 16] += 1
+        if i:
+            two = codes[i - 1] * 40503 + c & m
+            out[((two + 77) * 2246822519 & m) >> 16] += 1
+        if i > 1:
+            three = (codes[i - 2] * 40503 + codes[i - 1]) * 40503 + c & m
+            out[((three + 991) * 3266489917 & m) >> 16] += 1
+    return out
+
+
+def plain_leader(rows, k, alpha=1.0, beta=1.0, l1=0.02, l2=0.01, epochs=4):
+    """Follow-the-regularised-leader, one coordinate at a time."""
+    z, n = defaultdict(float), defaultdict(float)
+
+    def weight(i, c):
+        x, strong = z[i, c], 0.0 if i == "bias" else l1
+        return 0.0 if abs(x) <= strong else -(x - math.copysign(strong, x)) / ((beta + math.sqrt(n[i, c])) / alpha + l2)
+
+    order = np.random.default_rng(7)
+    for _ in range(epochs):
+        for r in order.permutation(len(rows)):
+            x, y = rows[r][0] | {"bias": 1.0}, rows[r][1]
+            w = {(i, c): weight(i, c) for i in x for c in range(k)}
+            e = [math.exp(sum(v * w[i, c] for i, v in x.items())) for c in range(k)]
+            for i, v in x.items():
+                for c in range(k):
+                    g = v * (e[c] / sum(e) - (c == y))
+                    z[i, c] += g - (math.sqrt(n[i, c] + g * g) - math.sqrt(n[i, c])) / alpha * w[i, c]
+                    n[i, c] += g * g
+    return weight
+
+
+def test_query_equals_brute_force(spark, tmp_path):
+    """Everything by plain loops: document frequencies, the rows learned from, the weights, the temperature, the answers."""
+    rows = [r for r in awkward(n=40) if len(r[1] or "") < 5000]
+    got = sorted((str(r.doc_id), r.held_out, r.lang_pred, r.score) for r in query(spark, "op4_language_id", tmp_path, rows=rows))
+    out = lambda r: zlib.crc32(str(r[0] if r[0] is not None else "").encode()) % 4 == 2
+    learned = [r for r in rows if r[2] and not out(r)]
+    df = Counter(g for r in learned for g in plain_grams(r[1] or ""))
+
+    def vector(text):
+        x = {g: (1 + math.log(n)) * (math.log((1 + len(learned)) / (1 + df[g])) + 1) for g, n in plain_grams(text or "").items()}
+        size = math.sqrt(sum(v * v for v in x.values()))
+        return {g: v / size for g, v in x.items()}
+
+    digest = lambda t: np.uint64(xxhash.xxh64_intdigest(t.encode(), xxhash.xxh64_intdigest(b"language", 42))).view(np.int64)
+    distinct = sorted({(int(digest(r[1] or "")), r[2], r[1] or "") for r in learned})
+    kept = [(vector(t), ["de", "en"].index(lang)) for _, lang, t in distinct if t]
+    left_out, fitted = kept[::5], [r for i, r in enumerate(kept) if i % 5]
+    weight = plain_leader(fitted, 2)
+    logits = lambda x: [weight("bias", c) + sum(v * weight(i, c) for i, v in x.items()) for c in range(2)]
+    scores = [(logits(x), y) for x, y in left_out]
+    loss = lambda t: sum(math.log(sum(math.exp(v / t) for v in z)) - z[y] / t for z, y in scores)
+    best = min((0.5 * 40 ** (i / 2000) for i in range(2001)), key=loss)
+    want = []
+    for r in rows:
+        z = [v / best for v in logits(vector(r[1]))]
+        p = max(math.exp(v) for v in z) / sum(math.exp(v) for v in z)
+        letter = any(c.isalpha() for c in r[1] or "")
+        want.append((str(r[0]), out(r), ["de", "en"][int(z[1] > z[0])] if letter else "und", p if letter else 0.0))
+    for a, b in zip(got, sorted(want), strict=True):
+        assert a[:3] == b[:3] and abs(a[3] - b[3]) < 2e-3
+
+
+def test_the_sample_is_bounded_and_repeats_count_once(spark):
+    """A row with most of the copies fills one place; no more than the bound comes to the driver; of many languages the frequent ones are learned."""
+    rows = [("the same text again", "en")] * 500 + [(f"eine zeile nummer {i} und mehr", "de") for i in range(300)] + [(f"the line number {i} and more", "en") for i in range(300)] + [(f"x{i}", f"l{i}") for i in range(20)]
+    df = spark.createDataFrame(rows, "text string, lang string")
+    seen = []
+    real = li.follow_the_leader
+    li.follow_the_leader = lambda r, *a, **k: seen.append(len(r)) or real(r, *a, **k)
+    try:
+        model = li.train(df, rows_per_class=50, max_classes=2)
+    finally:
+        li.follow_the_leader = real
+    assert model.classes == ["de", "en"] and seen == [80]  # a fifth of a hundred is left out
+    assert model.predict("the line and more")[0] == "en" and model.predict("eine zeile und mehr")[0] == "de"
+
+
 def test_awkward_rows(spark, tmp_path):
     got = query(spark, "op4_language_id", tmp_path)
     assert len(got) == len(awkward())
