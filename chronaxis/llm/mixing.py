@@ -26,6 +26,8 @@ from pyspark.sql import functions as F
 from .common import WORD, checkpointed
 
 SLICES = 256
+#: Up to this many sources the table of their weights is broadcast; beyond it is joined by key.
+FEW_SOURCES = 10_000
 
 
 @dataclass
@@ -42,7 +44,7 @@ def count_tokens(text: Column) -> Column:
     return F.regexp_count(F.coalesce(text, F.lit("")), F.lit(WORD)).cast("long")
 
 
-def solve(totals: DataFrame, target_entropy: float | None, max_repeats: float | None, budget: float | None = None, steps: int = 40) -> Mix:
+def solve(totals: DataFrame, target_entropy: float | None, max_repeats: float | None, budget: float | None = None, steps: int = 32) -> Mix:
     """Weights for ``totals`` (``source, n_tokens``).
 
     ``target_entropy`` is a fraction of the greatest possible entropy.
@@ -73,8 +75,8 @@ def solve(totals: DataFrame, target_entropy: float | None, max_repeats: float |
 
     # Entropy falls and repetition falls as the exponent grows: the limit binds first.
     def edge(ok, low: float, high: float) -> tuple[float, float]:
-        """The exponents around the change of ``ok``, by dividing 16 ways at a time."""
-        for _ in range(max(1, steps // 8)):
+        """The exponents around the change of ``ok``, bisected four times (16 ways) in one job, to ``steps`` halvings."""
+        for _ in range(max(1, steps // 4)):
             grid = [low + (high - low) * i / 16 for i in range(17)]
             marks = [ok(x) for x in state(grid)]
             k = next((i for i in range(1, 17) if marks[i] != marks[0]), 16)
@@ -96,18 +98,22 @@ def solve(totals: DataFrame, target_entropy: float | None, max_repeats: float |
 
 def mix(
     docs: DataFrame, target_entropy: float | None = 0.95, max_repeats: float | None = 4.0, budget: float | None = None, block_tokens: int = 100_000, seed: int = 7,
-    source_col: str = "source", text_col: str = "text", id_col: str = "doc_id", keep: tuple[str, ...] = (),
+    source_col: str = "source", text_col: str = "text", id_col: str = "doc_id", whole: bool = False,
 ) -> DataFrame:
     """One row for each time that a document is drawn.
 
-    Columns: ``doc_id, source, n_tokens, weight, pass, block, progress`` and those
-    in ``keep``; ordering by ``progress`` interleaves the sources by weight.
+    Columns: ``doc_id, source, n_tokens, weight, pass, block, progress``, and with
+    ``whole`` the input row as a struct ``row``, so that its names can't clash;
+    ordering by ``progress`` interleaves the sources by weight.
     """
-    counted = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(source_col).cast("string"), F.lit("\0null")).alias("__source"), count_tokens(F.col(text_col)).alias("n_tokens"), F.xxhash64(F.lit(seed), F.col(id_col), F.xxhash64(text_col)).alias("__hash"), *keep)
+    row = [F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")] if whole else []
+    # A null source is the empty key; every other has a mark before it.
+    source = F.coalesce(F.concat(F.lit("="), F.col(source_col).cast("string")), F.lit(""))
+    counted = docs.select(F.col(id_col).alias("doc_id"), source.alias("__source"), count_tokens(F.col(text_col)).alias("n_tokens"), F.xxhash64(F.lit(seed), F.col(id_col), F.xxhash64(text_col)).alias("__hash"), *row)
     found = solve(counted.groupBy(F.col("__source").alias("source")).agg(F.sum("n_tokens").alias("n_tokens")), target_entropy, max_repeats, budget)
     weights = found.weights.select(F.col("source").alias("__source"), F.col("n_tokens").alias("__total"), "weight", "epochs", F.greatest(F.lit(1), F.ceil(F.col("n_tokens") / block_tokens)).alias("__blocks"))
     # One row a source: broadcast while that is small, whatever the rows are; else by key, where AQE splits a hot source.
-    if weights.limit(10_001).count() <= 10_000:
+    if weights.limit(FEW_SOURCES + 1).count() <= FEW_SOURCES:
         weights = F.broadcast(weights)
     dealt = counted.join(weights, "__source").withColumn("block", F.pmod("__hash", "__blocks"))
     blocks = dealt.groupBy("__source", "block").agg(F.sum("n_tokens").alias("__tokens"), F.first("epochs").alias("epochs"))
@@ -130,9 +136,8 @@ def mix(
     # All passes of a block in one row, so the documents are read and joined once.
     drawn = checkpointed(taken.groupBy("__source", "block").agg(F.sort_array(F.collect_list(F.struct("pass", "progress"))).alias("__draws"), F.lit(1).alias("__one")))
     joined = _join_blocks(dealt, drawn)
-    return joined.select(
-        "doc_id", F.when(F.col("__source") != "\0null", F.col("__source")).alias("source"), "n_tokens", "weight", F.col("__draw.pass").alias("pass"), "block", F.col("__draw.progress").alias("progress"), *[c for c in keep if c not in ("doc_id", "source")]
-    )
+    source = F.when(F.col("__source") != "", F.substr("__source", F.lit(2)))
+    return joined.select("doc_id", source.alias("source"), "n_tokens", "weight", F.col("__draw.pass").alias("pass"), "block", F.col("__draw.progress").alias("progress"), *(["row"] if whole else []))
 
 
 def _join_blocks(dealt: DataFrame, drawn: DataFrame) -> DataFrame:
@@ -142,7 +147,4 @@ def _join_blocks(dealt: DataFrame, drawn: DataFrame) -> DataFrame:
 
 def remix(docs: DataFrame, **options) -> DataFrame:
     """``docs`` as drawn by :func:`mix`: the same columns, a row as often as it is drawn."""
-    packed = docs.select(F.struct(*docs.columns).alias("__row"))
-    flat = packed.select("__row", F.col("__row").getField(options.get("id_col", "doc_id")).alias("doc_id"), F.col("__row").getField(options.get("source_col", "source")).alias("source"), F.col("__row").getField(options.get("text_col", "text")).alias("text"))
-    options = {k: v for k, v in options.items() if not k.endswith("_col")}
-    return mix(flat, keep=("__row",), **options).select("__row.*")
+    return mix(docs, whole=True, **options).select("row.*")
