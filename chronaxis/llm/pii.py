@@ -8,7 +8,8 @@ The patterns are written so that a long run of letters or digits is scanned once
 Base kinds are confirmed by their form alone: ``email``; ``ip`` (parts to 255);
 ``card`` (16 to 19 digits, Luhn); ``phone`` (8 to 15 digits after a plus).  The
 method adds ``iban`` (mod 97), ``short_card`` (13 to 15 digits, Luhn, context),
-``national_id`` and ``local_phone`` (context).  A span's score starts at its kind's
+``national_id`` and ``local_phone`` (context), and ``secret`` (a run of 20 or more
+letters and digits, both, near a word such as token, key or password).  A span's score starts at its kind's
 prior and gains from context words in the ``BEFORE`` characters before it or the
 ``AFTER`` behind it, across other matches; added kinds need ``THRESHOLD``, and never
 overlap a base span.
@@ -27,6 +28,8 @@ from pyspark.sql import functions as F
 
 THRESHOLD = 0.5
 BEFORE, AFTER = 48, 24
+#: Matches are folded in blocks of this many, so that appending stays cheap in texts with very many.
+BLOCK = 256
 _SPAN = "array<struct<start:int,end:int,score:double>>"
 _LOCAL = "A-Za-z0-9._%+-"
 
@@ -50,6 +53,7 @@ KINDS = (
     Kind("iban", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?(?![A-Za-z0-9])", r"[A-Z]{2}[0-9]{2}\x20?[A-Z0-9]{4}", 0.9, "iban|account|bank|konto|compte|cuenta", False),
     Kind("short_card", r"(?<![0-9+.-])[0-9](?:[\x20-]?[0-9]){12,14}+(?![\x20-]?[0-9])", r"[0-9](?:[\x20-]?[0-9]){12}", 0.35, "card|visa|credit|amex|carte|karte|tarjeta", False),
     Kind("national_id", r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])", r"[0-9]{3}-[0-9]{2}-[0-9]{4}", 0.3, "ssn|social|security|insurance|passport|identity", False),
+    Kind("secret", r"(?<![A-Za-z0-9])[A-Za-z0-9]{20,}+", r"[A-Za-z0-9]{20}", 0.3, r"\w*(?:token|secret|passw|credential)|\w*key\b|auth|bearer", False),
     Kind("local_phone", r"(?<![0-9+(.-])\(?[0-9]{2,4}\)?[\x20.-][0-9]{3,4}[\x20.-][0-9]{3,4}(?![0-9.-])", r"[0-9][\x20.-][0-9]{3}", 0.25, "phone|call|tel|fax|mobile", False),
 )
 
@@ -82,6 +86,8 @@ def valid(kind: str, value: Column) -> Column:
         return F.when(n.between(low, high), luhn(value)).otherwise(False)
     if kind == "phone":
         return n.between(8, 15)
+    if kind == "secret":
+        return value.rlike("[0-9]") & value.rlike("[A-Za-z]")
     if kind == "iban":
         return F.when(F.length(F.replace(value, F.lit(" "), F.lit(""))).between(15, 34), mod97(value)).otherwise(False)
     return F.lit(True)
@@ -111,15 +117,22 @@ def spans(text: Column, kind: Kind) -> Column:
         return F.struct(end.alias("at"), seen.alias("seen"), F.when(x["match"].isNotNull() & good, F.array_append(state["out"], span)).otherwise(state["out"]).alias("out"))
 
     zipped = F.arrays_zip(pieces.alias("piece"), found.alias("match"), after.alias("next"))
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("seen"), F.array().cast(_SPAN).alias("out"))
-    folded = F.aggregate(zipped, start, fold, lambda state: state["out"])
+    start = lambda at, seen, kind: F.struct(at.alias("at"), seen.alias("seen"), F.array().cast(kind).alias("out"))
+
+    def block(state: Column, part: Column) -> Column:
+        inner = F.aggregate(part, start(state["at"], state["seen"], _SPAN), fold, lambda x: x)
+        return F.transform(F.array(inner), lambda x: F.struct(x["at"].alias("at"), x["seen"].alias("seen"), F.array_append(state["out"], x["out"]).alias("out")))[0]
+
+    blocks = lambda z: F.transform(F.sequence(F.lit(0), F.floor((F.size(z) - 1) / BLOCK).cast("int")), lambda i: F.slice(z, i * BLOCK + 1, F.lit(BLOCK)))
+    parts = F.transform(F.array(zipped), blocks)[0]
+    folded = F.aggregate(parts, start(F.lit(0), F.lit(""), f"array<{_SPAN}>"), block, lambda state: F.flatten(state["out"]))
     return F.when(text.contains("@") if kind.needs == "@" else text.rlike(kind.needs), folded).otherwise(F.array().cast(_SPAN))
 
 
 def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id`` and, for each kind, an array column of its spans."""
     rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("__text"))
-    # Digits are rare: one look spares most texts the numeric kinds.
+    # Digits are rare: one look spares most texts all other kinds.
     digit = F.col("__text").rlike("[0-9]")
     rows = rows.select("doc_id", *[(spans(F.col("__text"), k) if k.name == "email" else F.when(digit, spans(F.col("__text"), k)).otherwise(F.array().cast(_SPAN))).alias(k.name) for k in KINDS])
     base = F.concat(*[F.col(k.name) for k in KINDS if k.base])

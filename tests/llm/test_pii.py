@@ -96,6 +96,33 @@ def test_context_reaches_across_matches(spark):
         assert [(x.start, x.end) for x in found[i].national_id] == want, text
 
 
+def test_secrets(spark):
+    run = "a1" * 12
+    texts = {f'token = "{run}" then': 1, f"API_KEY: {run}": 1, f"keys {run}": 0, f"plain {run}": 0, f"password {'a' * 30}": 0, f"password {'1' * 30}": 0, f"token {run[:19]}": 0, f"{run} is the secret": 1, f"token {run}-{run}": 2}
+    found = pii.find(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert {list(texts)[r.doc_id]: len(r.secret) for r in found} == texts
+
+
+def test_many_matches_in_one_text(spark, tmp_path):
+    """More matches than a block holds, at every remainder; and very many in bounded time."""
+    texts = [" ".join(f"u{i}@h{i}.org 1.2.3.{i % 300} +1 234 567 {i}" for i in range(n)) for n in (255, 256, 257, 513, 700)] + ["é a@b.cd " * 60_000]
+    rows = [(i, t, None, None, 1) for i, t in enumerate(texts)]
+    check(query(spark, "op7_pii", tmp_path, rows=rows), {r[0]: r[1] for r in rows})
+
+
+def test_planted_documents_are_found(spark):
+    """Every document with a planted address, card, phone, mail or secret has a span."""
+    from chronaxis.llm.queries import op7_pii
+
+    sf = "/root/testdata/sf0.01"
+    found = {r.doc_id: r.spans for r in op7_pii(spark, sf).collect()}
+    planted = re.compile(r"""(?i)[a-z0-9.]+@[a-z0-9]+\.[a-z]+|token = "[0-9a-f]{40}"|\+[0-9][0-9 ()-]{9,}[0-9]""")
+    texts = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    held = [i for i, t in texts.items() if planted.search(t)]
+    assert len(held) > 20 and sum(bool(found[i]) for i in held) / len(held) > 0.98
+    assert sum(bool(s) for s in found.values()) < 0.2 * len(found)
+
+
 def test_no_python_in_the_plan(spark):
     plan = pii.find(spark.createDataFrame([(1, "x")], "doc_id long, text string"))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
