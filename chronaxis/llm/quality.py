@@ -6,8 +6,9 @@ marked characters are measured against all.  The hashes are of one text only, so
 chance equality (about n squared over 2^64) doesn't matter.
 
 A text fails the base rules if it has under ten words, or if over a fifth of its
-words lie in repeated five-word windows.  The method also rejects texts where the
-longer windows, or the repeated lines, cover more than ``LIMITS`` of the characters.
+words lie in repeated five-word windows.  The method also rejects texts where repeated
+windows of any other length (short ones find a phrase that recurs with other words
+about it), or the repeated lines, cover more than ``LIMITS`` of the characters.
 
 Cases: null text counts as empty: no words, base_failed; repeated rows each return a
 row; an empty table gives no rows; whole texts are read, however long; only the text
@@ -27,10 +28,10 @@ from .common import SPACE_BYTES, as_bytes, slices
 
 SYMBOLS = b"#*$%&|<>"
 #: Greatest share of the characters in words that repeated windows of n words may cover.
-LIMITS = {6: 0.19, 7: 0.18, 8: 0.17, 9: 0.16, 10: 0.15}
+LIMITS = {2: 0.40, 3: 0.30, 4: 0.25, 6: 0.19, 7: 0.18, 8: 0.17, 9: 0.16, 10: 0.15}
 LINE_LIMIT = 0.30
 MIN_WORDS, WINDOW, MAX_PERCENT = 10, 5, 20
-NGRAMS = (2, 3, 4, 5, *LIMITS)
+NGRAMS = tuple(range(2, 11))
 _COLUMNS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 SCHEMA = "doc_id long, " + ", ".join(f"{c} long" for c in _COLUMNS) + ", base_failed boolean, kept boolean, dup_line_share double, " + ", ".join(f"dup_{n}gram_share double" for n in NGRAMS)
 _MIX = np.uint64(0x9E3779B97F4A7C15)

@@ -57,6 +57,24 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.rules(_table(spark, sf_dir, "documents"))
 
 
+_NS = quality.NGRAMS
+OP6_SQL = rf"""
+with d as (select doc_id, coalesce(text, '') as t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as ws, list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) as ls from documents),
+w as (select doc_id, unnest(ws) as w, generate_subscripts(ws, 1) as i from d),
+size as (select doc_id, sum(strlen(w)) as total from w group by doc_id),
+win as (select doc_id, n, i, array_to_string(ws[i : i + n - 1], ' ') as g from (select doc_id, ws, n, unnest(range(1, len(ws) - n + 2)) as i from d, (select unnest(range(2, {max(_NS) + 1})) as n))),
+dup as (select doc_id, n, g from win group by all having count(*) > 1),
+marked as (select distinct doc_id, n, i + unnest(range(n)) as i from win semi join dup using (doc_id, n, g)),
+cover as (select doc_id, n, sum(strlen(w)) as covered, count(*) as k from marked join w using (doc_id, i) group by all),
+m as (select d.doc_id, len(ws) as n_words, length(regexp_replace(t, '[\x20\x09-\x0D]+', '', 'g')) as word_chars, length(regexp_replace(t, '[^#*$%&|<>]+', '', 'g')) as n_symbols, len(ls) - len(list_distinct(ls)) as n_dup_lines,
+  coalesce((select k from cover c where c.doc_id = d.doc_id and n = {quality.WINDOW}), 0) as n_repeat_words,
+  coalesce((list_sum(list_transform(ls, lambda x: strlen(x))) - list_sum(list_transform(list_distinct(ls), lambda x: strlen(x)))) / list_sum(list_transform(ls, lambda x: strlen(x))), 0)::double as dup_line_share,
+  {", ".join(f"coalesce((select covered from cover c where c.doc_id = d.doc_id and n = {n}) / (select total from size z where z.doc_id = d.doc_id), 0)::double as dup_{n}gram_share" for n in _NS)} from d),
+f as (select *, n_words < {quality.MIN_WORDS} or {quality.MAX_PERCENT} * n_words < 100 * n_repeat_words as base_failed from m)
+select *, not base_failed and dup_line_share <= {quality.LINE_LIMIT} and {" and ".join(f"dup_{n}gram_share <= {limit}" for n, limit in quality.LIMITS.items())} as kept from f
+"""
+
+
 def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     base = tuple(k for k in pii.KINDS if k.base)
     found = pii.find(_table(spark, sf_dir, "documents"))
@@ -91,4 +109,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_exact_dedup": OP2_SQL}
+    return {"op2_exact_dedup": OP2_SQL, "op6_quality": OP6_SQL}
