@@ -22,7 +22,8 @@ from __future__ import annotations
 import math
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -60,7 +61,6 @@ class FuzzyTrie:
 
     terms: list[tuple[str, bool, float]]
     cached: int = 200_000
-    steps: dict = field(default_factory=dict, repr=False)
 
     def __post_init__(self) -> None:
         self.children: list[dict[str, int]] = [{}]
@@ -78,7 +78,30 @@ class FuzzyTrie:
                 self.most[node] = max(self.most[node], allowed)
             self.most[0] = max(self.most[0], allowed)
             self.ends[node].append(i)
-        self.start = self._closed({(0, 0)})
+        self._forget()
+
+    def _forget(self) -> None:
+        """Start the deterministic machine anew: its states are numbered as words need them, 0 is the start."""
+        self.numbers: dict[frozenset, int] = {}
+        self.states: list[frozenset] = []
+        self.moves: list[dict[str, int]] = []
+        self.stem_ends: list[tuple | None] = []
+        self.word_ends: list[tuple | None] = []
+        self.n_moves = 0
+        self._number(self._closed({(0, 0)}))
+
+    def _number(self, states: frozenset) -> int:
+        """The number of a set of states; -1 for the empty set."""
+        if not states:
+            return -1
+        number = self.numbers.get(states)
+        if number is None:
+            number = self.numbers[states] = len(self.states)
+            self.states.append(states)
+            self.moves.append({})
+            self.stem_ends.append(self._best(states, False))
+            self.word_ends.append(self._best(states, True))
+        return number
 
     def _closed(self, states: set[tuple[int, int]]) -> frozenset[tuple[int, int]]:
         """With what is reached by skipping letters of terms."""
@@ -101,27 +124,32 @@ class FuzzyTrie:
             out.update((child, e + 1) for child in children.values())
         return self._closed(out)
 
-    def _found(self, states: frozenset, whole: bool) -> list[tuple[int, int]]:
-        return [(e, i) for node, e in states for i in self.ends[node] if (whole or self.terms[i][1]) and e <= edits(*self.terms[i][:2])]
+    def _best(self, states: frozenset, whole: bool) -> tuple[int, float, int] | None:
+        """(edits, less weight, number) of the best term that ends here; only stems unless the word ends too."""
+        found = [(e, -self.terms[i][2], i) for node, e in states for i in self.ends[node] if (whole or self.terms[i][1]) and e <= edits(*self.terms[i][:2])]
+        return min(found, default=None)
 
     def match(self, word: str) -> tuple[int, int] | None:
         """(edits, number) of the best term: fewest edits, then weight."""
-        if len(self.steps) > self.cached:
-            self.steps.clear()
-        states, stems = self.start, []
+        if self.n_moves > self.cached:
+            self._forget()
+        at, best, moves, stem_ends = 0, None, self.moves, self.stem_ends
         for c in word:
-            key = (states, c)
-            step = self.steps.get(key)
-            if step is None:
-                after = self._step(states, c)
-                step = self.steps[key] = (after, self._found(after, False))
-            states = step[0]
-            stems += step[1]
-            if not states:
+            after = moves[at].get(c)
+            if after is None:
+                after = moves[at][c] = self._number(self._step(self.states[at], c))
+                self.n_moves += 1
+            if after < 0:
                 break
+            at = after
+            end = stem_ends[at]
+            if end is not None and (best is None or end < best):
+                best = end
         else:
-            stems = stems + self._found(states, True)
-        return min(stems, key=lambda x: (x[0], -self.terms[x[1]][2], x[1])) if stems else None
+            end = self.word_ends[at]
+            if end is not None and (best is None or end < best):
+                best = end
+        return (best[0], best[2]) if best else None
 
 
 class Matcher:
@@ -167,6 +195,12 @@ class Matcher:
         return [math.log1p(exact + fuzzy), math.log1p(fuzzy), math.log1p(quoted), math.log1p(len(seen)), best, best_fuzzy, math.log1p(1000.0 * (exact + fuzzy) / max(len(words), 1)), 1.0]
 
 
+@lru_cache(maxsize=2)
+def _matcher(terms: tuple[tuple[str, bool, float], ...]) -> Matcher:
+    """One matcher a lexicon, kept by the worker process from task to task; its caches are bounded."""
+    return Matcher(list(terms))
+
+
 def chosen_rows(docs: DataFrame, labels: DataFrame, keep: Column, max_train: int, id_col: str, text_col: str, label_col: str) -> DataFrame:
     """``text, toxic`` of at most ``max_train`` labelled rows; the ids are few enough to broadcast."""
     ids = (
@@ -261,7 +295,7 @@ class ToxicityModel:
         terms = induce(rows)
 
         def run(batches):
-            matcher = Matcher(terms)
+            matcher = _matcher(tuple(terms))
             for batch in slices(batches):
                 made = np.array([matcher.features(t) for t in as_bytes(batch.column(0))], np.float64).reshape(-1, N_FEATURES)
                 yield pa.RecordBatch.from_arrays([batch.column(1), *map(pa.array, made.T.copy())], names=["toxic", *[f"f{i}" for i in range(N_FEATURES)]])
@@ -281,7 +315,7 @@ class ToxicityModel:
         schema = pa.schema([("doc_id", pa.int64()), ("score", pa.float64()), ("n_hits", pa.int64())])
 
         def run(batches):
-            matcher = Matcher(terms)
+            matcher = _matcher(tuple(terms))
             for batch in slices(batches):
                 x = np.array([matcher.features(t) for t in as_bytes(batch.column(1))], np.float64).reshape(-1, N_FEATURES)
                 score = np.zeros(len(x)) if weights is None else 1 / (1 + np.exp(-np.clip(x @ np.array(weights), -30, 30)))
@@ -296,7 +330,7 @@ class ToxicityModel:
         at = names.index(text_col)
 
         def run(batches):
-            matcher = Matcher(terms)
+            matcher = _matcher(tuple(terms))
             for batch in slices(batches):
                 x = np.array([matcher.features(t) for t in as_bytes(batch.column(at))], np.float64).reshape(-1, N_FEATURES)
                 yield batch.filter(pa.array((x @ np.array(weights) < math.log(threshold / (1 - threshold))) | ((x[:, 0] == 0) & (x[:, 2] == 0))))
