@@ -1,7 +1,9 @@
-"""Small dense linear algebra per group: what SQL can't express.
+"""Dense linear algebra per group: what SQL can't express.
 
-Each function runs ``applyInPandas`` on groups of at most a few hundred rows (one
-row a period or year), so a task's memory is bounded by the grid, not by the data.
+Principal components come from moments that tasks sum over their own rows, so a group
+may have any number of rows, over any number of tasks; what meets in one task has the
+size of the dimension squared.  The other functions run ``applyInPandas`` on groups of
+at most a few hundred rows by nature (one row a period, coin or year).
 """
 
 from __future__ import annotations
@@ -9,6 +11,12 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from chronaxis.functions import vectors as V
+
+#: Sums that a task holds before it sends them on, in values.
+HELD = 8_000_000
 
 
 def _apply(df: DataFrame, groups: list[str], run, extra: str) -> DataFrame:
@@ -20,39 +28,81 @@ def _matrix(pdf: pd.DataFrame, vec: str) -> np.ndarray:
     return np.stack(pdf[vec].to_numpy()).astype(float)
 
 
+def moments(df: DataFrame, groups: list[str], vec: str = "vec", order: str | None = None) -> DataFrame:
+    """``i, j, s``: sums of products of (1, the vector, ``order``) over each group's rows; summed in the tasks first."""
+    kinds = dict(df.dtypes)
+    extra = F.array(F.col(order).cast("double")) if order else F.array().cast("array<double>")
+    long = df.select(*groups, F.concat(F.array(F.lit(1.0)), F.transform(vec, lambda x: x.cast("double")), extra).alias("__x"))
+
+    def sums(held: dict) -> pd.DataFrame:
+        rows = [(*key, i, m[i].tolist()) for key, m in held.items() for i in range(len(m))]
+        return pd.DataFrame(rows, columns=[*groups, "i", "row"])
+
+    def run(frames):
+        held: dict = {}
+        for pdf in frames:
+            for key, part in pdf.groupby(groups, dropna=False, sort=False):
+                x = _matrix(part, "__x")
+                held[key] = held.get(key, 0.0) + x.T @ x
+            if sum(m.size for m in held.values()) > HELD:
+                yield sums(held)
+                held = {}
+        yield sums(held)
+
+    made = long.mapInPandas(run, ", ".join([*[f"{g} {kinds[g]}" for g in groups], "i int, row array<double>"]))
+    return made.select(*groups, "i", F.posexplode("row").alias("j", "s")).groupBy(*groups, "i", "j").agg(F.sum("s").alias("s"))
+
+
+def _covariance(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """(mean, scatter about the mean) of a group's moments."""
+    size = int(pdf["i"].max()) + 1
+    m = np.zeros((size, size))
+    m[pdf["i"].to_numpy(int), pdf["j"].to_numpy(int)] = pdf["s"].to_numpy(float)
+    mean = m[0, 1:] / m[0, 0]
+    return mean, m[1:, 1:] - m[0, 0] * np.outer(mean, mean)
+
+
 def first_component(df: DataFrame, groups: list[str], order: str, vec: str = "vec") -> DataFrame:
     """``axis``: unit first principal axis, turned so that its scores rise with ``order``."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        x = _matrix(pdf, vec)
-        c = x - x.mean(0)
-        axis = np.linalg.svd(c, full_matrices=False)[2][0]
-        t = pdf[order].to_numpy(float)
-        if ((c @ axis) * (t - t.mean())).sum() < 0:
+        _, s = _covariance(pdf)
+        axis = np.linalg.eigh(s[:-1, :-1])[1][:, -1]
+        if s[-1, :-1] @ axis < 0:
             axis = -axis
         return pd.DataFrame({**{g: [pdf[g].iloc[0]] for g in groups}, "axis": [axis.tolist()]})
 
-    return _apply(df, groups, run, "axis array<double>")
+    return _apply(moments(df, groups, vec, order), groups, run, "axis array<double>")
 
 
-def component_scores(df: DataFrame, groups: list[str], key: str, vec: str = "vec", k: int = 2, fitted: str | None = None) -> DataFrame:
-    """``key, scores, explained``: the first k scores; with ``fitted`` (a boolean column), other rows are projected into the fitted rows' space.
+def components(df: DataFrame, groups: list[str], vec: str = "vec", k: int = 2) -> DataFrame:
+    """``mean, axes, explained``: the first k principal axes and their shares of the variance.
 
-    Each component's largest weight is positive, so results don't depend on the solver's signs.
+    Each axis' largest weight is positive, so results don't depend on the solver's signs.
     """
-    kind = dict(df.dtypes)[key]
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(key)
-        x = _matrix(pdf, vec)
-        own = x if fitted is None else x[pdf[fitted].to_numpy(bool)]
-        mean = own.mean(0)
-        _, s, vt = np.linalg.svd(own - mean, full_matrices=False)
-        vt = vt[:k] * np.sign(vt[:k][np.arange(len(vt[:k])), np.abs(vt[:k]).argmax(1)])[:, None]
-        share = (s**2 / max((s**2).sum(), 1e-300))[:k]
-        return pd.DataFrame({**{g: [pdf[g].iloc[0]] * len(pdf) for g in groups}, key: pdf[key], "scores": ((x - mean) @ vt.T).tolist(), "explained": [share.tolist()] * len(pdf)})
-
-    return _apply(df, groups, run, f"{key} {kind}, scores array<double>, explained array<double>")
+        mean, s = _covariance(pdf)
+        w, v = np.linalg.eigh(s)
+        axes = v[:, ::-1][:, :k].T
+        axes = axes * np.sign(axes[np.arange(len(axes)), np.abs(axes).argmax(1)])[:, None]
+        share = np.maximum(w[::-1][:k], 0) / max(w.sum(), 1e-300)
+        return pd.DataFrame({**{g: [pdf[g].iloc[0]] for g in groups}, "mean": [mean.tolist()], "axes": [axes.tolist()], "explained": [share.tolist()]})
+
+    return _apply(moments(df, groups, vec), groups, run, "mean array<double>, axes array<array<double>>, explained array<double>")
+
+
+def scores(df: DataFrame, made: DataFrame, groups: list[str], keys: list[str], vec: str = "vec") -> DataFrame:
+    """``keys, component, score, share``: rows of ``df`` in the space of ``made`` (see :func:`components`; one row a group)."""
+    placed = df.join(made, groups)
+    each = F.transform("axes", lambda a: V.dot(V.minus(F.col(vec), F.col("mean")), a))
+    return placed.select(*groups, *keys, F.posexplode(F.arrays_zip(each.alias("score"), F.col("explained").alias("share"))).alias("component", "__s")).select(*groups, *keys, "component", "__s.score", "__s.share")
+
+
+def component_scores(df: DataFrame, groups: list[str], key: str, vec: str = "vec", k: int = 2, fitted: str | None = None) -> DataFrame:
+    """``key, component, score, share`` of the first k components; with ``fitted`` (a boolean column), other rows are projected into the fitted rows' space."""
+    own = df if fitted is None else df.filter(F.col(fitted))
+    return scores(df, components(own.select(*groups, vec), groups, vec, k), groups, [key], vec)
 
 
 def min_norm_axis(df: DataFrame, groups: list[str], target: str, vec: str = "vec") -> DataFrame:

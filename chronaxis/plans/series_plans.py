@@ -9,6 +9,7 @@ from chronaxis.functions import stats
 from chronaxis.operators import probes, series
 from chronaxis.plans import domain as D
 from chronaxis.plans import literals
+from chronaxis.plans import sql as S
 from chronaxis.plans.registry import Registry
 from chronaxis.sources.tables import driver_table
 from chronaxis.streaming.windows import windowed_mean
@@ -16,7 +17,7 @@ from chronaxis.streaming.windows import windowed_mean
 register = Registry()
 R = "round(round({0}, 9), 6) + 0.0 as {0}".format
 _PERIODS = ", ".join(f"('{s}', '{n}', {a}::double, {'null' if b is None else b}::double)" for s, n, a, b in literals.PERIODS)
-_ORDINAL_SQL = f"""
+ORDINAL_SQL = f"""
 p(series, name, start_year, end_year) as (values {_PERIODS}),
 i as (select *, row_number() over (partition by series order by start_year, name) - 1 as idx from p),
 g as (select unnest(generate_series(-5, 70, 5))::int as year),
@@ -25,7 +26,7 @@ m as (select series, year, avg(idx) filter (start_year <= year and year <= coale
   min(start_year) filter (start_year > year) as az, arg_min(idx, start_year) filter (start_year > year) as a,
   min(start_year) as lo, coalesce(max(end_year), 2025) as hi from i, g group by all),
 o as (select series, year, case when year between lo and hi then coalesce(inside, b + (a - b) * (year - bs) / (az - bs + 1e-9), b, a) end as ordinal from m)"""
-_ROLL_SQL = f"""{D.REAL_SQL},
+ROLL_SQL = f"""{D.REAL_SQL},
 rn as (select *, row_number() over (partition by entity order by year) as i, count(*) over (partition by entity) as k from al),
 sent as (select c.entity, c.year, r.value, r.purch_power from rn c join rn r on r.entity = c.entity and r.i between c.i - 7 and c.i + 7 where c.i > 7 and c.i <= c.k - 7),
 roll as (select entity, year, round(rho, 9) as rho, n from {D.spearman_sql("sent", "entity, year", "value", "purch_power")})"""
@@ -50,25 +51,34 @@ def _rolled(spark: SparkSession, sf: str) -> DataFrame:
     return rolled.withColumn("rho", F.round("rho", 9))
 
 
-@register(f"with {_ROLL_SQL} select entity, year, {R('rho')}, n from roll")
+@register(f"with {ROLL_SQL} select entity, year, {R('rho')}, n from roll")
 def spearman_rolling(spark: SparkSession, sf: str) -> DataFrame:
     return D.rounded(_rolled(spark, sf), "rho")
 
 
 @register(
-    f"""with {_ROLL_SQL}, o as (select *, row_number() over (partition by entity order by rho desc, year) as p, row_number() over (partition by entity order by rho, year) as t from roll where rho is not null)
+    f"""with {ROLL_SQL}, o as (select *, row_number() over (partition by entity order by rho desc, year) as p, row_number() over (partition by entity order by rho, year) as t from roll where rho is not null)
     select entity, max(round(round(rho, 9), 6) + 0.0) filter (p = 1) as peak, max(year) filter (p = 1) as peak_at, max(round(round(rho, 9), 6) + 0.0) filter (t = 1) as trough, max(year) filter (t = 1) as trough_at from o group by entity"""
 )
 def rolling_extrema(spark: SparkSession, sf: str) -> DataFrame:
     return D.rounded(stats.extremes(_rolled(spark, sf), ["entity"], "year"), "peak", "trough")
 
 
-@register()
+_STARS = "case when {n} < 3 then 'n/a' when {p} < 0.01 then '**' when {p} < 0.05 then '*' else 'ns' end".format
+_BATTERY = "case when {p} < 0.001 then '***' when {p} < 0.01 then '**' when {p} < 0.05 then '*' else '' end".format
+
+
+@register(
+    f"""with {D.REAL_SQL}, a as {D.spearman_sql('al', 'entity', 'value', 'purch_power')}, b as (select entity, rho as rho_earn, n as n_earn from {D.spearman_sql('al', 'entity', 'value', 'earn')}),
+    t as (select *, {S.p_sql('rho', 'n')} as p, {S.p_sql('rho_earn', 'n_earn')} as p_earn from a join b using (entity))
+    select entity, {R('rho')}, n, {R('rho_earn')}, n_earn, {R('p')}, {R('p_earn')}, {_STARS(n='n', p='p')} as sig, {_BATTERY(p='p')} as sig_battery from t"""
+)
 def correlation_tests(spark: SparkSession, sf: str) -> DataFrame:
-    """Rank correlation with both real series, its p-value and stars; SQL has no incomplete beta."""
+    """Rank correlation with both real series, its p-value and both kinds of stars."""
     made = stats.spearman(D.aligned(spark, sf), ["entity"], "value", "purch_power").join(stats.spearman(D.aligned(spark, sf), ["entity"], "value", "earn", rho="rho_earn", n="n_earn"), "entity")
     made = made.withColumns({"p": stats.p_value("rho", "n"), "p_earn": stats.p_value("rho_earn", "n_earn")})
-    return made.withColumns({"sig": stats.stars(F.col("p"), F.col("n")), "sig_battery": stats.stars_battery(F.col("p"))})
+    made = made.withColumns({"sig": stats.stars(F.col("p"), F.col("n")), "sig_battery": stats.stars_battery(F.col("p"))})
+    return D.rounded(made, "rho", "rho_earn", "p", "p_earn")
 
 
 @register(f"with {D.REAL_SQL} select year, {R('cpi')}, {R('earn')} from band")
@@ -119,17 +129,17 @@ def poly_r2(spark: SparkSession, sf: str) -> DataFrame:
     return D.rounded(stats.poly_r2(D.values(spark, sf), ["entity"], "year", "value"), "r2_linear", "r2_quadratic")
 
 
-@register(f"with {_ORDINAL_SQL} select series, year, {R('ordinal')} from o")
+@register(f"with {ORDINAL_SQL} select series, year, {R('ordinal')} from o")
 def ordinal_position(spark: SparkSession, sf: str) -> DataFrame:
     return D.rounded(series.ordinals(literals.periods(spark), literals.year_grid(spark, -5, 70, 5)), "ordinal")
 
 
-@register(f"with {_ORDINAL_SQL} select year, count(ordinal) as n_series from o group by year")
+@register(f"with {ORDINAL_SQL} select year, count(ordinal) as n_series from o group by year")
 def overlap_density(spark: SparkSession, sf: str) -> DataFrame:
     return series.overlap(series.ordinals(literals.periods(spark), literals.year_grid(spark, -5, 70, 5)))
 
 
-@register(f"with {_ORDINAL_SQL} select series, min(start_year) as lo, coalesce(max(end_year), 2025) as hi, count(*) as n from i group by series")
+@register(f"with {ORDINAL_SQL} select series, min(start_year) as lo, coalesce(max(end_year), 2025) as hi, count(*) as n from i group by series")
 def natural_range(spark: SparkSession, sf: str) -> DataFrame:
     return literals.periods(spark).groupBy("series").agg(F.min("start_year").alias("lo"), F.coalesce(F.max("end_year"), F.lit(2025.0)).alias("hi"), F.count("*").alias("n"))
 
@@ -174,9 +184,9 @@ def distinct_texts(spark: SparkSession, sf: str) -> DataFrame:
     return probes.distinct_texts(near.select(F.concat(F.lit("year "), "near_year").alias("text"), (F.col("year") * 10).cast("long").alias("ord")), "ord")
 
 
-@register("select p.name, d.label, round(round(ln(p.pence), 9), 6) + 0.0 as log_pence from (values " + ", ".join(f"('{k}', {v}::double)" for k, v in literals.PENCE.items()) + ") p(name, pence), (select distinct label from embeddings where label < 3) d")
+@register("select p.name, d.label, round(round(ln(p.pence), 9), 6) + 0.0 as log_pence from (values " + ", ".join(f"('{k}', {v}::double)" for k, v in literals.PENCE.items()) + ") p(name, pence), (select distinct label from embeddings) d")
 def literal_cross(spark: SparkSession, sf: str) -> DataFrame:
-    labels = driver_table(spark, sf, "embeddings").filter("label < 3").select("label").distinct()
+    labels = driver_table(spark, sf, "embeddings").select("label").distinct()
     made = labels.crossJoin(F.broadcast(literals.denominations(spark)))
     return D.rounded(made.select("name", "label", F.ln("pence").alias("log_pence")), "log_pence")
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from chronaxis.functions import stats
 from chronaxis.functions import vectors as V
-from chronaxis.operators import geometry, linalg, probes, series
+from chronaxis.operators import geometry, probes
 from chronaxis.plans import domain as D
 from chronaxis.plans import literals
 from chronaxis.plans.registry import Registry
@@ -15,26 +15,26 @@ from chronaxis.sources.tables import driver_table
 
 register = Registry()
 _DOT = "list_dot_product({}, {})".format
-_AXIS_SQL = f"{D.LONG_SQL}, ax as {D.axis_sql('cell', 'layer')}"
-_PROJ_SQL = f"{_AXIS_SQL}, proj as (select c.layer, c.tmpl, c.label, c.mid, list_dot_product(c.vec, a.axis) as p from cvec c join ax a using (layer))"
-_LABEL_SQL = f"{D.POINTS_SQL}, lc as (select label, mid, list(v order by pos) as vec from (select label, mid, pos, avg(v) as v from (select label, mid, unnest(range(64)) as pos, unnest(vec) as v from pts) group by all) group by all)"
-_PAIR_SQL = f"{_LABEL_SQL}, pr as (select a.label as i, b.label as j, list_distance(a.vec, b.vec) as d_vec, abs(a.mid - b.mid)::double as d_mid from lc a join lc b on a.label < b.label)"
+AXIS_SQL = f"{D.LONG_SQL}, ax as {D.axis_sql('cell', 'layer')}"
+PROJ_SQL = f"{AXIS_SQL}, proj as (select c.layer, c.tmpl, c.label, c.mid, list_dot_product(c.vec, a.axis) as p from cvec c join ax a using (layer))"
+LABEL_SQL = f"{D.POINTS_SQL}, lc as (select label, mid, list(v order by pos) as vec from (select label, mid, pos, avg(v) as v from (select label, mid, unnest(range(64)) as pos, unnest(vec) as v from pts) group by all) group by all)"
+PAIR_SQL = f"{LABEL_SQL}, pr as (select a.label as i, b.label as j, list_distance(a.vec, b.vec) as d_vec, abs(a.mid - b.mid)::double as d_mid from lc a join lc b on a.label < b.label)"
 _NEAR_SQL = f"""{D.POINTS_SQL}, nn as (select vec_id, label, near from (select a.vec_id, a.label, b.label as near, row_number() over (partition by a.vec_id order by round(list_distance(a.vec, b.vec), 9), b.vec_id) as r
   from pts a join pts b on a.label <> b.label) where r = 1)"""
 
 
-def _projected(spark: SparkSession, sf: str) -> DataFrame:
+def projected(spark: SparkSession, sf: str) -> DataFrame:
     """Cells on their layer's axis; one axis a layer is broadcast."""
     cells = D.cells(spark, sf)
     return cells.join(F.broadcast(D.difference_axis(cells, ["layer"])), "layer").withColumn("p", V.dot(F.col("vec"), F.col("axis")))
 
 
-def _label_centroids(spark: SparkSession, sf: str) -> DataFrame:
+def label_centroids(spark: SparkSession, sf: str) -> DataFrame:
     return V.centroids(D.points(spark, sf), ["label", "mid"], "vec")
 
 
-def _pairs(spark: SparkSession, sf: str) -> DataFrame:
-    return geometry.pair_distances(_label_centroids(spark, sf), [], "label", "mid")
+def pairs(spark: SparkSession, sf: str) -> DataFrame:
+    return geometry.pair_distances(label_centroids(spark, sf), [], "label", "mid")
 
 
 @register(f"with {D.LONG_SQL} select layer, label, pos, round(round(avg(v), 9), 6) + 0.0 as m from long group by all")
@@ -43,22 +43,22 @@ def centroids(spark: SparkSession, sf: str) -> DataFrame:
     return D.rounded(made.select("layer", "label", F.posexplode("vec").alias("pos", "m")), "m")
 
 
-@register(f"with {_AXIS_SQL} select layer, unnest(range(16))::int as pos, round(round(unnest(axis), 9), 6) + 0.0 as v from ax")
+@register(f"with {AXIS_SQL} select layer, unnest(range(16))::int as pos, round(round(unnest(axis), 9), 6) + 0.0 as v from ax")
 def mean_diff_axis(spark: SparkSession, sf: str) -> DataFrame:
     return D.rounded(D.difference_axis(D.cells(spark, sf), ["layer"]).select("layer", F.posexplode("axis").alias("pos", "v")), "v")
 
 
-@register(f"with {_PROJ_SQL} select layer, tmpl, label, round(round(p, 9), 6) + 0.0 as p, round(round(exp(p), 9), 6) + 0.0 as exp_p from proj")
+@register(f"with {PROJ_SQL} select layer, tmpl, label, round(round(p, 9), 6) + 0.0 as p, round(round(exp(p), 9), 6) + 0.0 as exp_p from proj")
 def projection(spark: SparkSession, sf: str) -> DataFrame:
-    return D.rounded(_projected(spark, sf).select("layer", "tmpl", "label", "p", F.exp("p").alias("exp_p")), "p", "exp_p")
+    return D.rounded(projected(spark, sf).select("layer", "tmpl", "label", "p", F.exp("p").alias("exp_p")), "p", "exp_p")
 
 
 @register(
-    f"""with {_AXIS_SQL}, k as (select c.layer, c.tmpl, c.label, {_DOT('c.vec', 'a.axis')} / (sqrt({_DOT('c.vec', 'c.vec')}) * sqrt({_DOT('a.axis', 'a.axis')}) + 1e-12) as cos from cvec c join ax a using (layer))
+    f"""with {AXIS_SQL}, k as (select c.layer, c.tmpl, c.label, {_DOT('c.vec', 'a.axis')} / (sqrt({_DOT('c.vec', 'c.vec')}) * sqrt({_DOT('a.axis', 'a.axis')}) + 1e-12) as cos from cvec c join ax a using (layer))
     select layer, tmpl, label, {"round(round(cos, 9), 6) + 0.0 as cosine"}, round(round(degrees(acos(least(abs(cos), 1))), 9), 6) + 0.0 as angle, case when degrees(acos(least(abs(cos), 1))) > 70 then 'mostly orthogonal' else 'related' end as verdict from k"""
 )
 def cosine_angle(spark: SparkSession, sf: str) -> DataFrame:
-    made = _projected(spark, sf).withColumn("cosine", V.cosine(F.col("vec"), F.col("axis"))).withColumn("angle", V.angle(F.col("cosine")))
+    made = projected(spark, sf).withColumn("cosine", V.cosine(F.col("vec"), F.col("axis"))).withColumn("angle", V.angle(F.col("cosine")))
     return D.rounded(made.select("layer", "tmpl", "label", "cosine", "angle", F.when(F.col("angle") > 70, "mostly orthogonal").otherwise("related").alias("verdict")), "cosine", "angle")
 
 
@@ -77,23 +77,23 @@ def vector_diagnostics(spark: SparkSession, sf: str) -> DataFrame:
     return D.rounded(driver_table(spark, sf, "embeddings").select("vec_id", finite.alias("finite"), large.alias("large"), V.norm(F.col("embedding")).alias("size")), "size")
 
 
-@register(f"with {_PAIR_SQL} select i, j, round(round(d_vec, 9), 6) + 0.0 as d_vec, d_mid from pr")
+@register(f"with {PAIR_SQL} select i, j, round(round(d_vec, 9), 6) + 0.0 as d_vec, d_mid from pr")
 def pair_distance(spark: SparkSession, sf: str) -> DataFrame:
-    return D.rounded(_pairs(spark, sf), "d_vec")
+    return D.rounded(pairs(spark, sf), "d_vec")
 
 
 @register(
-    f"""with {_PAIR_SQL}, q as (select i * 1000 + j as id, round(d_vec, 9) as x, d_mid as y from pr), s as (select sign(a.x - b.x) as sx, sign(a.y - b.y) as sy from q a join q b on a.id < b.id)
+    f"""with {PAIR_SQL}, q as (select i * 1000 + j as id, round(d_vec, 9) as x, d_mid as y from pr), s as (select sign(a.x - b.x) as sx, sign(a.y - b.y) as sy from q a join q b on a.id < b.id)
     select round(round(sum(sx * sy) / nullif(sqrt(sum(abs(sx))::double * sum(abs(sy))), 0), 9), 6) + 0.0 as tau from s"""
 )
 def kendall_centroid_tau(spark: SparkSession, sf: str) -> DataFrame:
-    pairs = _pairs(spark, sf).select((F.col("i") * 1000 + F.col("j")).alias("id"), F.round("d_vec", 9).alias("d_vec"), "d_mid")
-    return D.rounded(stats.kendall_tau(pairs, [], "d_vec", "d_mid", "id"), "tau")
+    distances = pairs(spark, sf).select((F.col("i") * 1000 + F.col("j")).alias("id"), F.round("d_vec", 9).alias("d_vec"), "d_mid")
+    return D.rounded(stats.kendall_tau(distances, [], "d_vec", "d_mid", "id"), "tau")
 
 
-@register(f"with {_PAIR_SQL} select round(regr_slope(d_vec, d_mid), 9) + 0.0 as slope, round(round(regr_intercept(d_vec, d_mid), 9), 6) + 0.0 as intercept, count(*) as n from pr")
+@register(f"with {PAIR_SQL} select round(regr_slope(d_vec, d_mid), 9) + 0.0 as slope, round(round(regr_intercept(d_vec, d_mid), 9), 6) + 0.0 as intercept, count(*) as n from pr")
 def centroid_trend(spark: SparkSession, sf: str) -> DataFrame:
-    made = stats.ols(_pairs(spark, sf).withColumn("g", F.lit(0)), ["g"], "d_mid", "d_vec")
+    made = stats.ols(pairs(spark, sf).withColumn("g", F.lit(0)), ["g"], "d_mid", "d_vec")
     return D.rounded(made.select((F.round("slope", 9) + 0.0).alias("slope"), "intercept", "n"), "intercept")
 
 
@@ -173,40 +173,40 @@ def separation_ratio(spark: SparkSession, sf: str) -> DataFrame:
     return D.rounded(made.select("year", F.try_divide("between_", "within").alias("ratio")), "ratio")
 
 
-@register(f"with {_LABEL_SQL} select label, mid, (row_number() over (order by mid, label) - 1)::int as pid from lc")
+@register(f"with {LABEL_SQL} select label, mid, (row_number() over (order by mid, label) - 1)::int as pid from lc")
 def temporal_rank(spark: SparkSession, sf: str) -> DataFrame:
     """Periods are few by nature, so one window orders them."""
     periods = D.points(spark, sf).select("label", "mid").distinct()
     return periods.withColumn("pid", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("mid", "label")) - 1)
 
 
-_SWEEP_SQL = f"{_PROJ_SQL}, sweep as {D.spearman_sql('proj', 'layer, tmpl', 'p', 'mid')}"
+SWEEP_SQL = f"{PROJ_SQL}, sweep as {D.spearman_sql('proj', 'layer, tmpl', 'p', 'mid')}"
 
 
-def _sweep(spark: SparkSession, sf: str) -> DataFrame:
-    return stats.spearman(_projected(spark, sf), ["layer", "tmpl"], "p", "mid")
+def sweep(spark: SparkSession, sf: str) -> DataFrame:
+    return stats.spearman(projected(spark, sf), ["layer", "tmpl"], "p", "mid")
 
 
-@register(f"with {_SWEEP_SQL} select layer, tmpl, round(round(rho, 9), 6) + 0.0 as rho, n from sweep")
+@register(f"with {SWEEP_SQL} select layer, tmpl, round(round(rho, 9), 6) + 0.0 as rho, n from sweep")
 def layer_sweep(spark: SparkSession, sf: str) -> DataFrame:
-    return D.rounded(_sweep(spark, sf), "rho")
+    return D.rounded(sweep(spark, sf), "rho")
 
 
-@register(f"with {_SWEEP_SQL} select tmpl, layer as best_layer, round(round(rho, 9), 6) + 0.0 as rho from (select *, row_number() over (partition by tmpl order by round(rho, 9) desc, layer) as r from sweep where rho is not null) where r = 1")
+@register(f"with {SWEEP_SQL} select tmpl, layer as best_layer, round(round(rho, 9), 6) + 0.0 as rho from (select *, row_number() over (partition by tmpl order by round(rho, 9) desc, layer) as r from sweep where rho is not null) where r = 1")
 def layer_sweep_best(spark: SparkSession, sf: str) -> DataFrame:
     best = F.min(F.struct((-F.round("rho", 9)).alias("r"), "layer"))
-    return D.rounded(_sweep(spark, sf).filter("rho is not null").groupBy("tmpl").agg(best.alias("b")).select("tmpl", F.col("b.layer").alias("best_layer"), (-F.col("b.r")).alias("rho")), "rho")
+    return D.rounded(sweep(spark, sf).filter("rho is not null").groupBy("tmpl").agg(best.alias("b")).select("tmpl", F.col("b.layer").alias("best_layer"), (-F.col("b.r")).alias("rho")), "rho")
 
 
-@register(f"with {_SWEEP_SQL} select tmpl, " + ", ".join(f"round(round(max(rho) filter (layer = {k}), 9), 6) + 0.0 as rho_{k}, max(n) filter (layer = {k}) as n_{k}" for k in range(D.LAYERS)) + " from sweep group by tmpl")
+@register(f"with {SWEEP_SQL} select tmpl, " + ", ".join(f"round(round(max(rho) filter (layer = {k}), 9), 6) + 0.0 as rho_{k}, max(n) filter (layer = {k}) as n_{k}" for k in range(D.LAYERS)) + " from sweep group by tmpl")
 def pivot_layers(spark: SparkSession, sf: str) -> DataFrame:
-    made = _sweep(spark, sf).groupBy("tmpl").pivot("layer", list(range(D.LAYERS))).agg(F.first("rho").alias("rho"), F.first("n").alias("n"))
+    made = sweep(spark, sf).groupBy("tmpl").pivot("layer", list(range(D.LAYERS))).agg(F.first("rho").alias("rho"), F.first("n").alias("n"))
     return D.rounded(made.select("tmpl", *[F.col(f"{k}_{c}").alias(f"{c}_{k}") for k in range(D.LAYERS) for c in ("rho", "n")]), *[f"rho_{k}" for k in range(D.LAYERS)])
 
 
-@register(f"with {_SWEEP_SQL} select layer, round(round(avg(abs(rho)), 9), 6) + 0.0 as mean_abs_rho from sweep group by layer")
+@register(f"with {SWEEP_SQL} select layer, round(round(avg(abs(rho)), 9), 6) + 0.0 as mean_abs_rho from sweep group by layer")
 def mean_abs_by_layer(spark: SparkSession, sf: str) -> DataFrame:
-    return D.rounded(_sweep(spark, sf).groupBy("layer").agg(F.avg(F.abs("rho")).alias("mean_abs_rho")), "mean_abs_rho")
+    return D.rounded(sweep(spark, sf).groupBy("layer").agg(F.avg(F.abs("rho")).alias("mean_abs_rho")), "mean_abs_rho")
 
 
 _CROSS_SQL = f"""{D.LONG_SQL}, half as (select layer, tmpl % 2 as h, label, mid, pos, avg(v) as v from cell group by all), hv as (select layer, h, label, mid, list(v order by pos) as vec from half group by all),
@@ -231,98 +231,19 @@ def cross_temporal(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @register(
-    f"""with {_SWEEP_SQL}, b as (select tmpl, layer, label, pos, avg(v) as m, sum(v) as s, sum(v * v) as ss, count(*) as k from long group by all), c as (select *, sum(s) over w / sum(k) over w as c from b window w as (partition by tmpl, layer, pos)),
+    f"""with {SWEEP_SQL}, b as (select tmpl, layer, label, pos, avg(v) as m, sum(v) as s, sum(v * v) as ss, count(*) as k from long group by all), c as (select *, sum(s) over w / sum(k) over w as c from b window w as (partition by tmpl, layer, pos)),
     bw as (select tmpl, layer, sum(k * (m - c) ** 2) / (sum(ss - k * m * m) + 1e-12) as bw from c group by all), t as (select tmpl, max(coalesce(abs(rho), 0)) as best_rho, max(abs(bw)) as bw from sweep join bw using (tmpl, layer) group by tmpl)
     select tmpl, round(round(best_rho, 9), 6) + 0.0 as best_rho, round(round(bw / (max(bw) over () + 1e-9), 9), 6) + 0.0 as bw_scaled from t"""
 )
 def composite_scores(spark: SparkSession, sf: str) -> DataFrame:
     long = V.spread(D.layers(D.points(spark, sf)).select("tmpl", "layer", "label", "vec"), "vec")
-    made = _sweep(spark, sf).join(geometry.bw_ratio(long, ["tmpl", "layer"], "label"), ["tmpl", "layer"]).groupBy("tmpl").agg(F.max(F.coalesce(F.abs("rho"), F.lit(0.0))).alias("best_rho"), F.max(F.abs("bw")).alias("bw"))
+    made = sweep(spark, sf).join(geometry.bw_ratio(long, ["tmpl", "layer"], "label"), ["tmpl", "layer"]).groupBy("tmpl").agg(F.max(F.coalesce(F.abs("rho"), F.lit(0.0))).alias("best_rho"), F.max(F.abs("bw")).alias("bw"))
     top = made.agg(F.max("bw").alias("top"))
     return D.rounded(made.crossJoin(F.broadcast(top)).select("tmpl", "best_rho", (F.col("bw") / (F.col("top") + 1e-9)).alias("bw_scaled")), "best_rho", "bw_scaled")
 
 
-@register("select 'vec ' || vec_id as text, label from embeddings where vec_id % 7 = 0")
+@register("select 'vec ' || vec_id as text, label from embeddings")
 def embed_lookup(spark: SparkSession, sf: str) -> DataFrame:
     """Texts met with precomputed vectors; a missing one would be an error."""
     table = driver_table(spark, sf, "embeddings").select(F.concat(F.lit("vec "), "vec_id").alias("text"), "label", "embedding", "vec_id")
-    return probes.embed_from_table(table.filter("vec_id % 7 = 0").select("text"), table).select("text", "label")
-
-
-# Linear algebra: results are checked in tests, as SQL has none.
-
-
-@register()
-def pc1_axis(spark: SparkSession, sf: str) -> DataFrame:
-    """First component by layer, turned to rise with time, and the rank correlation of its scores."""
-    cells = D.cells(spark, sf)
-    axes = linalg.first_component(cells, ["layer"], "mid")
-    rho = stats.spearman(cells.join(F.broadcast(axes), "layer").withColumn("p", V.dot(F.col("vec"), F.col("axis"))), ["layer"], "p", "mid")
-    return axes.join(rho, "layer")
-
-
-@register()
-def pca_scores(spark: SparkSession, sf: str) -> DataFrame:
-    cells = D.cells(spark, sf).withColumns({"id": F.col("tmpl") * 100 + F.col("label"), "fit": F.col("tmpl") % 2 == 0})
-    return linalg.component_scores(cells, ["layer"], "id", k=3, fitted="fit")
-
-
-@register()
-def minnorm_axis(spark: SparkSession, sf: str) -> DataFrame:
-    """Direction of log value over period centroids, by layer."""
-    made = V.centroids(D.layers(D.points(spark, sf)), ["layer", "label"], "vec").withColumn("target", F.ln(1.0 + F.col("label")))
-    return linalg.min_norm_axis(made, ["layer"], "target")
-
-
-@register()
-def mds_classical(spark: SparkSession, sf: str) -> DataFrame:
-    return linalg.classical_mds(_label_centroids(spark, sf).withColumn("g", F.lit(0)), ["g"], "label")
-
-
-@register()
-def velocity_peaks(spark: SparkSession, sf: str) -> DataFrame:
-    return linalg.peaks(geometry.velocity(D.trajectory(spark, sf), ["series"], "year"), ["series"], "at", "velocity")
-
-
-@register()
-def sequence_metrics(spark: SparkSession, sf: str) -> DataFrame:
-    """By template and layer: PC1 correlation, between/within ratio, purity, robustness and correlation on the axis."""
-    pts = D.layers(D.points(spark, sf))
-    long = V.spread(pts.select("layer", "label", "vec"), "vec")
-    cells = D.cells(spark, sf).withColumn("id", F.col("tmpl") * 100 + F.col("label"))
-    axes = linalg.first_component(cells, ["layer"], "mid")
-    pc1 = stats.spearman(cells.join(F.broadcast(axes), "layer").withColumn("p", V.dot(F.col("vec"), F.col("axis"))), ["layer"], "p", "mid", rho="pc1_rho")
-    own = stats.spearman(_projected(spark, sf), ["layer"], "p", "mid", rho="axis_rho").drop("n")
-    near = geometry.purity(geometry.neighbours(cells, ["layer"], "label", "id"), ["layer"], "label").drop("n")
-    made = pc1.join(own, "layer").join(geometry.bw_ratio(long, ["layer"], "label"), "layer").join(near, "layer")
-    made = made.join(geometry.robustness(V.spread(cells.select("layer", "label", "vec"), "vec"), ["layer"], "label"), "layer")
-    return made.withColumns({"pc1_rho": F.abs("pc1_rho"), "p": stats.p_value("pc1_rho", "n")})
-
-
-@register()
-def battery_sweep(spark: SparkSession, sf: str) -> DataFrame:
-    """Ordinals of interval series against the first component of the year path: ``series, layer, rho, n, p, sig``; series of under five years go."""
-    path = D.layers(D.trajectory(spark, sf).drop("series").withColumn("step", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("year")) - 1))
-    axes = linalg.first_component(path, ["layer"], "year")
-    scores = path.join(F.broadcast(axes), "layer").select("layer", F.col("step").alias("year"), V.dot(F.col("vec"), F.col("axis")).alias("p1"))
-    own = series.ordinals(literals.periods(spark), literals.year_grid(spark, 0, 50, 1)).filter("ordinal is not null")
-    made = stats.spearman(scores.join(F.broadcast(own), "year"), ["series", "layer"], "p1", "ordinal", least=5).filter("n >= 5")
-    made = made.withColumn("p", stats.p_value("rho", "n"))
-    return made.withColumn("sig", stats.stars_battery(F.col("p")))
-
-
-@register()
-def manifold_metrics(spark: SparkSession, sf: str) -> DataFrame:
-    """By template (a series of periods) and layer: first-component correlation, tau of distances, purity, correlation and cosine with the year axis."""
-    keys = ["tmpl", "layer"]
-    cells = D.cells(spark, sf)
-    pc1 = linalg.first_component(cells, keys, "mid")
-    scored = cells.join(F.broadcast(pc1), keys).withColumn("p1", V.dot(F.col("vec"), F.col("axis"))).drop("axis")
-    year = D.difference_axis(cells, ["layer"]).withColumnRenamed("axis", "year_axis")
-    rho = stats.spearman(scored, keys, "p1", "mid", rho="spearman_rho").withColumn("spearman_rho", F.abs("spearman_rho"))
-    cross = stats.spearman(scored.join(F.broadcast(year), "layer").withColumn("py", V.dot(F.col("vec"), F.col("year_axis"))), keys, "py", "mid", rho="cross_rho").drop("n")
-    pairs = geometry.pair_distances(cells, keys, "label", "mid").select(*keys, (F.col("i") * 1000 + F.col("j")).alias("id"), F.round("d_vec", 9).alias("d_vec"), "d_mid")
-    tau = stats.kendall_tau(pairs, keys, "d_vec", "d_mid", "id")
-    near = geometry.purity(geometry.neighbours(cells.withColumn("id", F.col("label")), keys, "label", "id"), keys, "label").drop("n")
-    cosine = pc1.join(F.broadcast(year), "layer").select(*keys, F.abs(V.cosine(F.col("axis"), F.col("year_axis"))).alias("cross_cosine"))
-    return rho.join(tau, keys).join(near, keys).join(cosine, keys).join(cross, keys)
+    return probes.embed_from_table(table.select("text"), table).select("text", "label")

@@ -118,8 +118,8 @@ def test_linear_algebra(spark):
     df = spark.createDataFrame(rows, "g string, t int, vec array<double>")
     axis = linalg.first_component(df, ["g"], "t").first().axis
     assert math.hypot(*axis) == pytest.approx(1) and axis[1] > 0.8
-    scores = linalg.component_scores(df, ["g"], "t", k=2).orderBy("t").collect()
-    assert sum(scores[0].explained) == pytest.approx(1) and len({round(r.scores[0], 3) for r in scores}) == 8
+    scores = linalg.component_scores(df, ["g"], "t", k=2).orderBy("t", "component").collect()
+    assert sum(r.share for r in scores[:2]) == pytest.approx(1) and len({round(r.score, 3) for r in scores if r.component == 0}) == 8
     fit = linalg.min_norm_axis(df, ["g"], "t").first().axis
     assert math.hypot(*fit) == pytest.approx(1)
     assert linalg.classical_mds(df.withColumn("vec", F.array(F.col("vec")[0], F.col("vec")[1] * 0 + 1)), ["g"], "t").first().stress == pytest.approx(0, abs=1e-8)
@@ -127,6 +127,26 @@ def test_linear_algebra(spark):
     assert [r.t for r in linalg.peaks(bumps, ["g"], "t", "v").collect()] == [3]
 
 
+@pytest.mark.parametrize("held", [1, 8_000_000])
+def test_moments_are_summed_over_tasks(spark, monkeypatch, held):
+    """Groups over many tasks, a null group among them, against one decomposition each."""
+    import numpy as np
+
+    monkeypatch.setattr(linalg, "HELD", held)
+    rng = np.random.default_rng(5)
+    x = rng.normal(3, 1, (90, 5)) * [1, 2, 3, 4, 5]
+    rows = [(["a", "b", None][i % 3], i, x[i].tolist()) for i in range(90)]
+    df = spark.createDataFrame(rows, "g string, t int, vec array<double>").repartition(7)
+    made = {r.g: r for r in linalg.components(df, ["g"], k=3).collect()}
+    for n, g in enumerate(["a", "b", None]):
+        own = x[n::3] - x[n::3].mean(0)
+        s, vt = np.linalg.svd(own, full_matrices=False)[1:]
+        assert np.abs(np.array(made[g].axes)) == pytest.approx(np.abs(vt[:3]), abs=1e-9)
+        assert made[g].explained == pytest.approx((s**2 / (s**2).sum())[:3]) and all(max(a, key=abs) > 0 for a in made[g].axes)
+    axis = {r.g: np.array(r.axis) for r in linalg.first_component(df, ["g"], "t").collect()}
+    assert np.corrcoef(x[::3] @ axis["a"], np.arange(0, 90, 3))[0, 1] >= 0 and abs(axis["a"] @ made["a"].axes[0]) == pytest.approx(1)
+
+
 def test_missing_texts_are_named(spark):
     texts = spark.createDataFrame([("a",), ("lost",)], "text string")
     with pytest.raises(KeyError, match="lost"):
