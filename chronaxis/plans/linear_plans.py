@@ -2,18 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chronaxis.functions import stats
 from chronaxis.functions import vectors as V
-from chronaxis.operators import geometry, linalg, series
+from chronaxis.operators import geometry, linalg
 from chronaxis.plans import domain as D
-from chronaxis.plans import literals
 from chronaxis.plans import sql as S
 from chronaxis.plans import vector_plans as P
 from chronaxis.plans.registry import Registry
-from chronaxis.plans.series_plans import ORDINAL_SQL
 
 register = Registry()
 DOT = "list_dot_product({}, {})".format
