@@ -150,6 +150,22 @@ def poly_r2(df: DataFrame, groups: list[str], x: str, y: str) -> DataFrame:
     return s.select(*groups, F.when(flat, 0.0).otherwise(one).alias("r2_linear"), F.when(flat, 0.0).otherwise(two).alias("r2_quadratic"))
 
 
+def poly_fit(df: DataFrame, groups: list[str], x: str, y: str) -> DataFrame:
+    """``df`` with ``fit_1`` and ``fit_2``, the values of the least-squares line and parabola; without a spread in ``x``: the mean.
+
+    The parabola is the line plus the centred square freed of both lower powers.
+    """
+    w = Window.partitionBy(*groups)
+    made = df.withColumns({"__u": F.col(x) - F.avg(x).over(w), "__mean": F.avg(y).over(w)})
+    made = made.withColumn("__uu", F.avg(F.col("__u") ** 2).over(w))
+    made = made.withColumn("__q", F.col("__u") ** 2 - F.col("__uu") - F.coalesce(F.try_divide(F.avg(F.col("__u") ** 3).over(w), F.col("__uu")), F.lit(0.0)) * F.col("__u"))
+    slope = F.coalesce(F.try_divide(F.avg(F.col("__u") * F.col(y)).over(w), F.col("__uu")), F.lit(0.0))
+    size = F.avg(F.col("__q") ** 2).over(w)
+    bend = F.when(size > 1e-9 * F.avg(F.col("__u") ** 4).over(w), F.avg(F.col("__q") * F.col(y)).over(w) / size).otherwise(0.0)
+    line = F.col("__mean") + slope * F.col("__u")
+    return made.withColumns({"fit_1": line, "fit_2": line + bend * F.col("__q")}).drop("__u", "__mean", "__uu", "__q")
+
+
 def kendall_tau(pairs: DataFrame, groups: list[str], x: str, y: str, key: str) -> DataFrame:
     """Tau-b by comparing rows pairwise; for groups of up to a few hundred rows, see :func:`kendall_tau_sorted` beyond."""
     a, b = pairs.alias("a"), pairs.alias("b")

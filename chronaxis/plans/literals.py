@@ -28,3 +28,11 @@ PERIODS = (("a", "one", 0.0, 10.0), ("a", "two", 8.0, 20.0), ("a", "three", 30.0
 
 def periods(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(list(PERIODS), "series string, name string, start_year double, end_year double")
+
+
+#: Eras of the velocity figure: first year, last year, name.  Fixed values.
+ERAS = ((-600, 0, "Antiquity"), (0, 500, "Late Antiquity"), (500, 1000, "Early Medieval"), (1000, 1500, "High/Late Medieval"), (1500, 1800, "Early Modern"), (1800, 1925, "Modern"))
+
+
+def eras(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame(list(ERAS), "first int, last int, era string")

@@ -65,6 +65,12 @@ def rolling_extrema(spark: SparkSession, sf: str) -> DataFrame:
 
 
 _STARS = "case when {n} < 3 then 'n/a' when {p} < 0.01 then '**' when {p} < 0.05 then '*' else 'ns' end".format
+
+
+def stars_sql(n: str, p: str) -> str:
+    return _STARS(n=n, p=p)
+
+
 _BATTERY = "case when {p} < 0.001 then '***' when {p} < 0.01 then '**' when {p} < 0.05 then '*' else '' end".format
 
 
