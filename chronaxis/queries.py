@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from chronaxis.plans import figure_plans, linear_plans, metric_plans, series_plans, vector_plans
+from chronaxis.plans import figure_plans, linear_plans, metric_plans, series_plans, source_plans, vector_plans
 from chronaxis.plans.registry import Query
 
-_MODULES = (series_plans, vector_plans, linear_plans, metric_plans, figure_plans)
+_MODULES = (series_plans, vector_plans, linear_plans, metric_plans, figure_plans, source_plans)
 
 
 def queries() -> dict[str, Query]:

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import json
+import tempfile
+import uuid
 from collections.abc import Sequence
 from pathlib import PurePosixPath
 
@@ -13,6 +15,29 @@ YEARLY = "series string, year int, value double"
 INTERVAL = "name string, start_year string, end_year string"
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the folder that all executors share (``spark.checkpoint.dir``); a temporary one in local sessions without it."""
+    sc = spark.sparkContext
+    if sc.getCheckpointDir() is None:
+        given = sc.getConf().get("spark.checkpoint.dir")
+        if given is None:
+            if not sc.master.startswith("local"):
+                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+            given = tempfile.mkdtemp(prefix="scratch-")
+        sc.setCheckpointDir(given)
+    return f"{sc.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
+
+
+def put_text(spark: SparkSession, path: str, text: str) -> None:
+    """A small text file, written by the driver to any file system that Spark knows."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    out = p.getFileSystem(spark._jsc.hadoopConfiguration()).create(p, True)
+    try:
+        out.write(bytearray(text.encode()))
+    finally:
+        out.close()
+
+
 def driver_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -60,6 +85,30 @@ def interval_series(spark: SparkSession, path: str, skip: Sequence[str] = (), st
     return made if start_from is None else made.filter(F.col("start_year") >= start_from)
 
 
+def interval_directory(spark: SparkSession, path: str, skip: Sequence[str] = (), start_from: float | None = None) -> tuple[DataFrame, DataFrame]:
+    """(rows as of :func:`interval_series`, ``series, message`` of the files that lack a column).
+
+    Each file is read by its own header, in whatever order its columns stand, so a
+    bad file costs nothing but itself.  Fields in quotes may hold commas, not line ends.
+    """
+    stem = F.regexp_extract(F.col("_metadata.file_name"), r"^(.*)\.[^.]*$", 1)
+    lines = spark.read.text(f"{path}/*.csv").select(stem.alias("series"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("i"), F.regexp_replace("value", "\r$", "").alias("line"))
+    lines = lines.filter(~F.col("series").isin(*skip) & (F.trim("line") != ""))
+    # A file's header is the first line of its first block.
+    heads = lines.groupBy("series").agg(F.min(F.struct("block", "i", "line")).alias("h"))
+    names = F.transform(F.split(F.regexp_replace("h.line", "\ufeff", ""), ","), lambda c: F.trim(F.replace(c, F.lit('"'), F.lit(""))))
+    needed = F.array(*[F.lit(c) for c in ("name", "start_year", "end_year")])
+    heads = heads.select("series", F.col("h.i").alias("head"), names.alias("names"), F.array_except(needed, names).alias("lost"))
+    bad = heads.filter(F.size("lost") > 0).select("series", F.concat(F.lit("missing columns: "), F.array_join("lost", ", ")).alias("message"))
+    # One row a file: broadcast by a hint that AQE may drop when the files are very many.
+    good = heads.filter(F.size("lost") == 0)
+    fields = F.transform(F.split("line", ',(?=(?:[^"]*"[^"]*")*[^"]*$)'), lambda c: F.regexp_replace(F.trim(c), '^"|"$', ""))
+    rows = lines.join(good, "series").filter(F.col("i") != F.col("head")).withColumn("fields", fields)
+    at = lambda c: F.nullif(F.get("fields", F.array_position("names", c) - 1), F.lit("")).alias(c)
+    made = rows.select("series", at("name"), at("start_year"), at("end_year")).select("series", "name", number("start_year").alias("start_year"), number("end_year").alias("end_year")).filter("start_year is not null")
+    return made if start_from is None else made.filter(F.col("start_year") >= start_from), bad
+
+
 def save_directions(directions: DataFrame, path: str) -> None:
     """``model, axis, layer, vec`` as a table partitioned by model and layer."""
     enforce_columns(directions, "model", "axis", "layer", "vec").write.mode("overwrite").partitionBy("model", "layer").parquet(path)
