@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from chronaxis.functions import vectors as V
 
+#: Points in a block of the neighbour search.
+BLOCK = 512
+
 
 def bw_ratio(long: DataFrame, groups: list[str], label: str) -> DataFrame:
     """Between over within variance; ``long`` has a row a point and position (``pos, v``); under two labels: 0."""
@@ -18,18 +23,42 @@ def bw_ratio(long: DataFrame, groups: list[str], label: str) -> DataFrame:
 
 
 def neighbours(points: DataFrame, groups: list[str], label: str, key: str, vec: str = "vec") -> DataFrame:
-    """Label of the nearest point with another label; ties go to the lowest key.
+    """Label of the nearest point with another label; ties (to nine decimals) go to the lowest key.
 
-    An all-pairs operation by definition; the querying points are dealt evenly over
-    the cores, whatever files they come from, and each keeps one running minimum.
+    All pairs are compared by definition, block against block: points are dealt into
+    blocks of about ``BLOCK``, a pair of blocks is one matrix, and each point sends one
+    candidate a block, not one a pair.
     """
-    dealt = points.repartition(2 * points.sparkSession.sparkContext.defaultParallelism, key)
-    a, b = dealt.alias("a"), points.alias("b")
-    cond = F.col(f"a.{label}") != F.col(f"b.{label}")
-    for g in groups:
-        cond = cond & (F.col(f"a.{g}") == F.col(f"b.{g}"))
-    pairs = a.join(b, cond).select(*[F.col(f"a.{g}").alias(g) for g in groups], F.col(f"a.{key}").alias(key), F.col(f"a.{label}").alias(label), F.struct(F.round(V.distance(F.col(f"a.{vec}"), F.col(f"b.{vec}")), 9).alias("d"), F.col(f"b.{key}").alias("k"), F.col(f"b.{label}").alias("l")).alias("c"))
-    return pairs.groupBy(*groups, key, label).agg(F.min("c").alias("c")).select(*groups, key, label, F.col("c.l").alias("near"))
+    kinds = dict(points.dtypes)
+    counts = points.groupBy(*groups).agg(F.count("*").alias("__n"))
+    sized = points.join(counts, groups) if groups else points.crossJoin(counts)  # without groups: one row
+    dealt = sized.withColumn("__b", F.pmod(F.xxhash64(key), F.ceil(F.col("__n") / BLOCK)))
+    blocks = dealt.groupBy(*groups, "__b").agg(F.collect_list(F.col(key)).alias("__k"), F.collect_list(F.col(label)).alias("__l"), F.collect_list(F.transform(vec, lambda x: x.cast("double"))).alias("__v"))
+    other = blocks.select(*groups, F.col("__b").alias("__b2"), F.col("__k").alias("__k2"), F.col("__l").alias("__l2"), F.col("__v").alias("__v2"))
+    paired = blocks.join(other, groups) if groups else blocks.crossJoin(other)
+    spread = 2 * points.sparkSession.sparkContext.defaultParallelism
+    paired = paired.repartition(spread, *groups, "__b", "__b2")
+
+    def run(frames):
+        for pdf in frames:
+            for r in pdf.to_dict("records"):
+                k, l, v = np.asarray(r["__k"]), np.asarray(r["__l"]), np.stack(r["__v"])
+                order = np.argsort(r["__k2"], kind="stable")
+                k2, l2, v2 = np.asarray(r["__k2"])[order], np.asarray(r["__l2"])[order], np.stack(r["__v2"])[order]
+                best, at = np.full(len(v), np.inf), np.zeros(len(v), int)
+                for i in range(len(v)):
+                    d = np.round(np.sqrt(((v2 - v[i]) ** 2).sum(1)), 9)
+                    d[l2 == l[i]] = np.inf
+                    at[i] = d.argmin()
+                    best[i] = d[at[i]]
+                live = np.isfinite(best)
+                n = int(live.sum())
+                columns = {**{g: [r[g]] * n for g in groups}, key: k[live].tolist(), label: l[live].tolist(), "__d": best[live].tolist(), "__k2": k2[at[live]].tolist(), "__l2": l2[at[live]].tolist()}
+                yield pd.DataFrame({c: pd.Series(x, dtype=object) for c, x in columns.items()})
+
+    schema = ", ".join([*[f"{g} {kinds[g]}" for g in groups], f"{key} {kinds[key]}, {label} {kinds[label]}, __d double, __k2 {kinds[key]}, __l2 {kinds[label]}"])
+    found = paired.mapInPandas(run, schema)
+    return found.groupBy(*groups, key, label).agg(F.min(F.struct("__d", "__k2", "__l2")).alias("__c")).select(*groups, key, label, F.col("__c.__l2").alias("near"))
 
 
 def purity(near: DataFrame, groups: list[str], label: str) -> DataFrame:

@@ -19,6 +19,7 @@ from chronaxis.plans import vector_plans as P
 from chronaxis.plans.linear_plans import DOT, on_axis
 from chronaxis.plans.registry import Registry
 from chronaxis.plans.series_plans import ORDINAL_SQL, stars_sql
+from chronaxis.sources.tables import small
 
 register = Registry()
 r6 = S.r6
@@ -180,7 +181,7 @@ pt as (select 'year' as kind, layer, year::double as at_year, -1 as tmpl, vec fr
 def _shape(spark: SparkSession, sf: str, k: int, periods: bool) -> DataFrame:
     path = M.year_path(spark, sf).select(F.lit("year").alias("kind"), "layer", F.col("year").alias("at_year"), F.lit(-1).alias("tmpl"), "vec")
     points = path.unionByName(D.cells(spark, sf).select(F.lit("period").alias("kind"), "layer", F.col("mid").cast("double").alias("at_year"), "tmpl", "vec")) if periods else path
-    return D.rounded(linalg.scores(points, F.broadcast(linalg.components(path, ["layer"], k=k)), ["layer"], ["kind", "at_year", "tmpl"]), "score", "share")
+    return D.rounded(linalg.scores(points, small(linalg.components(path, ["layer"], k=k)), ["layer"], ["kind", "at_year", "tmpl"]), "score", "share")
 
 
 @register(f"with recursive {_SHAPE_SQL}, s as ({S.scores_sql('p', 'pt', 'layer', 'kind, at_year, tmpl')}) select layer, kind, at_year, tmpl, component, {r6('score', 'score')}, {r6('share', 'share')} from s")
@@ -211,7 +212,7 @@ def path_dynamics(spark: SparkSession, sf: str) -> DataFrame:
     speed = geometry.velocity(path, ["series"], "year")
     peak = linalg.peaks(speed, ["series"], "at", "velocity").select("at", F.lit(True).alias("peak"))
     frames = [
-        speed.join(F.broadcast(peak), "at", "left").select(F.lit("velocity").alias("metric"), F.col("at").alias("at_year"), F.col("velocity").alias("value"), F.coalesce("peak", F.lit(False)).alias("peak")),
+        speed.join(small(peak), "at", "left").select(F.lit("velocity").alias("metric"), F.col("at").alias("at_year"), F.col("velocity").alias("value"), F.coalesce("peak", F.lit(False)).alias("peak")),
         geometry.curvature(path, ["series"], "year").select(F.lit("curvature"), "year", "curvature", F.lit(False)),
         geometry.local_dimension(path, ["series"], "year").select(F.lit("dimension"), "year", "dimension", F.lit(False)),
     ]
@@ -238,7 +239,7 @@ def pc1_projection(spark: SparkSession, sf: str) -> DataFrame:
     """Periods of each series on the years' first component, with each series' trend."""
     path = M.year_path(spark, sf)
     mean = V.centroids(path, ["layer"], "vec", "mean")
-    placed = D.cells(spark, sf).join(F.broadcast(mean), "layer").withColumn("vec", V.minus(F.col("vec"), F.col("mean")))
+    placed = D.cells(spark, sf).join(small(mean), "layer").withColumn("vec", V.minus(F.col("vec"), F.col("mean")))
     points = on_axis(placed, linalg.first_component(path, ["layer"], "year"), ["layer"], "proj").select("layer", "tmpl", "mid", "proj")
     trend = stats.ols(points, ["layer", "tmpl"], "mid", "proj", least=4).withColumn("p", F.when(F.col("n") >= 4, stats.p_value("r", "n")))
     made = points.join(trend.drop("n"), ["layer", "tmpl"]).withColumn("slope", F.round("slope", 9) + 0.0)
@@ -299,10 +300,10 @@ def _scatter(spark: SparkSession, sf: str) -> DataFrame:
     scaled = M.sequence_cells(spark, sf)[1]
     bw = geometry.bw_ratio(V.spread(scaled, "vec"), M.SEQ, "label")
     pick = M.best_layers(spark, sf).withColumn("choice", F.lit("best")).unionByName(bw.filter(F.col("layer") == FIXED_LAYER).withColumn("choice", F.lit("fixed")))
-    made = linalg.scores(scaled, F.broadcast(linalg.components(scaled, M.SEQ, k=2)), M.SEQ, ["tmpl", "label"])
+    made = linalg.scores(scaled, small(linalg.components(scaled, M.SEQ, k=2)), M.SEQ, ["tmpl", "label"])
     at = lambda c, k: F.max(F.when(F.col("component") == k, F.col(c)))
     wide = made.groupBy(*M.SEQ, "tmpl", "label").agg(at("score", 0).alias("x"), at("score", 1).alias("y"), at("share", 0).alias("share_x"), at("share", 1).alias("share_y"))
-    return wide.join(F.broadcast(pick), M.SEQ)
+    return wide.join(small(pick), M.SEQ)
 
 
 @register(f"with recursive {_PCA_SQL} select choice, seq, layer, {r6('bw', 'bw')}, tmpl, label, {r6('x', 'x')}, {r6('y', 'y')}, {r6('share_x', 'share_x')}, {r6('share_y', 'share_y')} from pw")
@@ -323,6 +324,6 @@ def pca_centroids(spark: SparkSession, sf: str) -> DataFrame:
 def confusion_best(spark: SparkSession, sf: str) -> DataFrame:
     """Which period the nearest point of another period belongs to, at each sequence's best layer."""
     best = M.best_layers(spark, sf)
-    points = M.sequence_cells(spark, sf)[1].join(F.broadcast(best), M.SEQ)
-    made = geometry.confusion(geometry.neighbours(points, M.SEQ, "label", "id"), M.SEQ, "label").join(F.broadcast(best), M.SEQ)
+    points = M.sequence_cells(spark, sf)[1].join(small(best), M.SEQ)
+    made = geometry.confusion(geometry.neighbours(points, M.SEQ, "label", "id"), M.SEQ, "label").join(small(best), M.SEQ)
     return D.rounded(made.withColumn("cell", F.when(F.col("share") > 0.02, F.format_string("%.2f", F.round("share", 9)))), "bw", "share")

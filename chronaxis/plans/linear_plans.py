@@ -12,14 +12,15 @@ from chronaxis.plans import domain as D
 from chronaxis.plans import sql as S
 from chronaxis.plans import vector_plans as P
 from chronaxis.plans.registry import Registry
+from chronaxis.sources.tables import small
 
 register = Registry()
 DOT = "list_dot_product({}, {})".format
 
 
 def on_axis(points: DataFrame, axes: DataFrame, keys: list[str], name: str = "p", axis: str = "axis") -> DataFrame:
-    """``points`` with their projection; one axis a key (series and layers), so broadcast."""
-    return points.join(F.broadcast(axes), keys).withColumn(name, V.dot(F.col("vec"), F.col(axis))).drop(axis)
+    """``points`` with their projection; one axis a key, so a small table unless there are very many series."""
+    return points.join(small(axes), keys).withColumn(name, V.dot(F.col("vec"), F.col(axis))).drop(axis)
 
 
 _PC1_SQL = f"{D.LONG_SQL}, {S.axes_sql('p', 'cell', 'layer', 'tmpl, label', 1)}, {S.risen_sql('p', 'cvec', 'layer', 'mid')}, pp as (select layer, mid, {DOT('vec', 'axis')} as p from cvec join pup using (layer)), pr as {D.spearman_sql('pp', 'layer', 'p', 'mid')}"

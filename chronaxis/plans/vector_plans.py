@@ -11,7 +11,7 @@ from chronaxis.operators import geometry, probes
 from chronaxis.plans import domain as D
 from chronaxis.plans import literals
 from chronaxis.plans.registry import Registry
-from chronaxis.sources.tables import driver_table
+from chronaxis.sources.tables import driver_table, small
 
 register = Registry()
 _DOT = "list_dot_product({}, {})".format
@@ -24,9 +24,9 @@ _NEAR_SQL = f"""{D.POINTS_SQL}, nn as (select vec_id, label, near from (select a
 
 
 def projected(spark: SparkSession, sf: str) -> DataFrame:
-    """Cells on their layer's axis; one axis a layer is broadcast."""
+    """Cells on their layer's axis."""
     cells = D.cells(spark, sf)
-    return cells.join(F.broadcast(D.difference_axis(cells, ["layer"])), "layer").withColumn("p", V.dot(F.col("vec"), F.col("axis")))
+    return cells.join(small(D.difference_axis(cells, ["layer"])), "layer").withColumn("p", V.dot(F.col("vec"), F.col("axis")))
 
 
 def label_centroids(spark: SparkSession, sf: str) -> DataFrame:
@@ -222,7 +222,7 @@ def cross_temporal(spark: SparkSession, sf: str) -> DataFrame:
     """The even templates' axis (years) against the odd templates' (a sequence), for each layer."""
     halves = V.centroids(D.cells(spark, sf).withColumn("h", F.col("tmpl") % 2), ["layer", "h", "label", "mid"], "vec")
     axes = D.difference_axis(halves, ["layer", "h"])
-    other = F.broadcast(axes.select("layer", (1 - F.col("h")).alias("h"), "axis"))
+    other = small(axes.select("layer", (1 - F.col("h")).alias("h"), "axis"))
     rho = stats.spearman(halves.join(other, ["layer", "h"]).withColumn("p", V.dot(F.col("vec"), F.col("axis"))), ["layer", "h"], "p", "mid")
     at = lambda df, h, c, name: df.filter(F.col("h") == h).select("layer", F.col(c).alias(name))
     both = at(axes, 0, "axis", "a").join(at(axes, 1, "axis", "b"), "layer").select("layer", V.dot(F.col("a"), F.col("b")).alias("cosine"))

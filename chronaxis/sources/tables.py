@@ -28,6 +28,13 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{sc.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
 
 
+def small(df: DataFrame, rows: int = 100_000) -> DataFrame:
+    """``df``, computed once and marked for broadcast if it has no more than ``rows`` rows; beyond, joined as Spark sees fit."""
+    scratch(df.sparkSession, "")
+    kept = df.checkpoint(eager=True)
+    return F.broadcast(kept) if kept.limit(rows + 1).count() <= rows else kept
+
+
 def put_text(spark: SparkSession, path: str, text: str) -> None:
     """A small text file, written by the driver to any file system that Spark knows."""
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
