@@ -132,7 +132,7 @@ def _encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _lots(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
     """Encoded texts, end to end, in lots of about ``_TOKENS``, or one text."""
     lot, size = [], 0
-    for batch in slices(batches, 2 * _TOKENS):
+    for batch in slices(batches, _TOKENS // 2):
         stream = flat_bytes(batch.column(0))[1].view(np.uint16)
         if lot and size + len(stream) > _TOKENS:
             yield np.concatenate(lot)
