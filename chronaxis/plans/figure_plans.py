@@ -279,6 +279,33 @@ def metric_lines(spark: SparkSession, sf: str) -> DataFrame:
     return D.rounded(_long(spark, sf, _LINES), "value")
 
 
+_CROSS = ("cross_cosine", "cross_rho")
+
+
+@register(f"with recursive {M.METRIC_SQL} " + " union all ".join(f"select '{n}' as metric, seq, layer, {r6(n, 'value')} from mt" for n in _CROSS))
+def cross_axis_lines(spark: SparkSession, sf: str) -> DataFrame:
+    """Cosine and correlation with the year axis, by sequence and layer."""
+    return D.rounded(_long(spark, sf, _CROSS), "value")
+
+
+@register(f"with recursive {M.METRIC_SQL} select 'template_robust' as figure, seq, layer, {r6('tmpl_robustness', 'value')} from mt")
+def template_robust_lines(spark: SparkSession, sf: str) -> DataFrame:
+    return D.rounded(M.metrics(spark, sf).select(F.lit("template_robust").alias("figure"), "seq", "layer", F.col("tmpl_robustness").alias("value")), "value")
+
+
+_PARTS = ("spearman_rho", "centroid_tau", "knn_purity", "cross_cosine", "cross_rho")
+
+
+@register(
+    f"with recursive {M.METRIC_SQL}, t as (select seq, {', '.join(f'max(coalesce(abs({n}), 0)) as {n}' for n in _PARTS)}, max(coalesce(abs(bw_ratio), 0)) as b from mt group by seq) select seq, {', '.join(r6(n, n) for n in _PARTS)}, {r6('b / (max(b) over () + 1e-9)', 'bw_ratio')} from t"
+)
+def composite_bars(spark: SparkSession, sf: str) -> DataFrame:
+    """The greatest size of each metric by sequence; the ratio against the greatest of all."""
+    made = M.metrics(spark, sf).groupBy("seq").agg(*[F.max(F.coalesce(F.abs(n), F.lit(0.0))).alias(n) for n in (*_PARTS, "bw_ratio")])
+    top = F.max("bw_ratio").over(Window.partitionBy(F.lit(0)))  # a row a sequence
+    return D.rounded(made.withColumn("bw_ratio", F.col("bw_ratio") / (top + 1e-9)), *_PARTS, "bw_ratio")
+
+
 @register(
     f"with recursive {M.METRIC_SQL} " + " union all ".join(f"select '{n}' as metric, seq, " + ", ".join(r6(f"max({_absolute(n)}) filter (layer = {k})", f"layer_{k}") for k in range(D.LAYERS)) + " from mt group by seq" for n in _HEAT)
 )
