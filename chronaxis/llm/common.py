@@ -50,7 +50,7 @@ def as_bytes(column: pa.Array) -> list[bytes]:
     return [x or b"" for x in pc.cast(column, pa.large_binary()).to_pylist()]
 
 
-def slices(batches: Iterator[pa.RecordBatch], max_bytes: int = 16 << 20) -> Iterator[pa.RecordBatch]:
+def slices(batches: Iterator[pa.RecordBatch], max_bytes: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """The same rows in batches of at most ``max_bytes`` or one row, so that very long texts don't meet in memory."""
     for batch in batches:
         rows = max(1, batch.num_rows * max_bytes // max(batch.nbytes, 1))

@@ -155,7 +155,7 @@ class FuzzyTrie:
 class Matcher:
     """Features of a text; word results are kept in a bounded cache."""
 
-    def __init__(self, terms: list[tuple[str, bool, float]], cached: int = 400_000):
+    def __init__(self, terms: list[tuple[str, bool, float]], cached: int = 100_000):
         self.trie, self.terms, self.cached = FuzzyTrie(terms), terms, cached
         self.known: dict[bytes, int] = {}
 
@@ -195,7 +195,7 @@ class Matcher:
         return [math.log1p(exact + fuzzy), math.log1p(fuzzy), math.log1p(quoted), math.log1p(len(seen)), best, best_fuzzy, math.log1p(1000.0 * (exact + fuzzy) / max(len(words), 1)), 1.0]
 
 
-@lru_cache(maxsize=2)
+@lru_cache(maxsize=1)
 def _matcher(terms: tuple[tuple[str, bool, float], ...]) -> Matcher:
     """One matcher a lexicon, kept by the worker process from task to task; its caches are bounded."""
     return Matcher(list(terms))
