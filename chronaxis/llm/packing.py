@@ -21,6 +21,7 @@ import json
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator
+from functools import lru_cache
 from typing import Any
 
 import pyarrow as pa
@@ -48,7 +49,7 @@ class WordCodec:
     with a special token, are encoded whole.
     """
 
-    def __init__(self, path: str, cached: int = 400_000):
+    def __init__(self, path: str, cached: int = 250_000):
         import tiktoken
         from tokenizers import Tokenizer
 
@@ -85,6 +86,12 @@ class WordCodec:
         return b"".join([self._pack(self.fast.encode_ordinary(first)), *[get(x) or word(x) for x in rest]])
 
 
+@lru_cache(maxsize=1)
+def _codec(path: str) -> WordCodec:
+    """One codec a worker process, kept from task to task; its cache is bounded."""
+    return WordCodec(path)
+
+
 class Packer:
     """Packs pieces of one partition; ``emit`` gets (piece, sequence, offset, window)."""
 
@@ -173,7 +180,7 @@ class Packer:
 
 
 def _packed(batches: Iterator[pa.RecordBatch], path: str, end_id: int, tiers: tuple[int, ...], group_tokens: int) -> Iterator[pa.RecordBatch]:
-    codec, out = WordCodec(path), []
+    codec, out = _codec(path), []
     end = end_id.to_bytes(4, "little")
 
     def emit(doc, start, n, sequence, offset, window, group):
