@@ -24,6 +24,7 @@ from collections.abc import Iterator
 from functools import lru_cache
 from typing import Any
 
+import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -36,20 +37,13 @@ SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long,
 _ARROW = pa.schema(
     [("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64()), ("window", pa.int32()), ("step_group", pa.int64())]
 )
-#: Characters that a byte-level splitter counts as white space, without the space itself.
-_BLANKS = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f\x85\xa0                　"
 _PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
 
-class WordCodec:
-    """Ids of a byte-level BPE vocabulary, as little-endian 32-bit integers.
+class Codec:
+    """Ids of a byte-level BPE vocabulary, as little-endian 32-bit integers; texts with a special token take the tokenizer's own path."""
 
-    No merge crosses the space before a word, so words are encoded once and kept
-    in a bounded cache.  Texts where a space meets other white space, and texts
-    with a special token, are encoded whole.
-    """
-
-    def __init__(self, path: str, cached: int = 250_000):
+    def __init__(self, path: str):
         import tiktoken
         from tokenizers import Tokenizer
 
@@ -61,35 +55,19 @@ class WordCodec:
         letters = {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in set(plain))}
         ranks = {bytes(letters[c] for c in word): i for word, i in made["model"]["vocab"].items() if word not in self.special}
         self.fast = tiktoken.Encoding("words", pat_str=_PATTERN, mergeable_ranks=ranks, special_tokens={})
-        self.cached, self.words = cached, {}
-
-    def _pack(self, ids: list[int]) -> bytes:
-        import numpy as np
-
-        return np.asarray(ids, dtype="<u4").tobytes()
-
-    def _word(self, word: str) -> bytes:
-        packed = self._pack(self.fast.encode_ordinary(f" {word}"))
-        if len(word) <= 48:
-            if len(self.words) >= self.cached:
-                self.words.clear()
-            self.words[word] = packed
-        return packed
 
     def encode(self, text: str) -> bytes:
         if any(x in text for x in self.special):
-            return self._pack(self.whole.encode(text, add_special_tokens=False).ids)
-        if "  " in text or any(c in text and (f" {c}" in text or f"{c} " in text) for c in _BLANKS):
-            return self._pack(self.fast.encode_ordinary(text))
-        first, *rest = text.split(" ")
-        get, word = self.words.get, self._word
-        return b"".join([self._pack(self.fast.encode_ordinary(first)), *[get(x) or word(x) for x in rest]])
+            ids = self.whole.encode(text, add_special_tokens=False).ids
+        else:
+            ids = self.fast.encode_ordinary(text)
+        return np.asarray(ids, dtype="<u4").tobytes()
 
 
 @lru_cache(maxsize=1)
-def _codec(path: str) -> WordCodec:
-    """One codec a worker process, kept from task to task; its cache is bounded."""
-    return WordCodec(path)
+def _codec(path: str) -> Codec:
+    """One codec a worker process, kept from task to task."""
+    return Codec(path)
 
 
 class Packer:

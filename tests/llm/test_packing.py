@@ -6,7 +6,7 @@ import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
-from chronaxis.llm.packing import WordCodec, pack
+from chronaxis.llm.packing import Codec, pack
 from tests.llm.fixtures import awkward, frame, query
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
@@ -16,7 +16,7 @@ TEXTS = ["", " ", "  ", "a  b", "a   b", "a \n b", "a\n b", "a \nb", "a\n\nb", "
 @pytest.mark.parametrize("text", TEXTS)
 def test_ids_equal_the_tokenizer(text):
     want = Tokenizer.from_file(PATH).encode(text, add_special_tokens=False).ids
-    assert np.frombuffer(WordCodec(PATH).encode(text), "<u4").tolist() == want
+    assert np.frombuffer(Codec(PATH).encode(text), "<u4").tolist() == want
 
 
 def check(rows, texts):
