@@ -29,10 +29,12 @@ def scratch(spark: SparkSession, name: str) -> str:
 
 
 def small(df: DataFrame, rows: int = 100_000) -> DataFrame:
-    """``df``, computed once and marked for broadcast if it has no more than ``rows`` rows; beyond, joined as Spark sees fit."""
-    scratch(df.sparkSession, "")
-    kept = df.checkpoint(eager=True)
-    return F.broadcast(kept) if kept.limit(rows + 1).count() <= rows else kept
+    """``df``, kept and marked for broadcast if it has no more than ``rows`` rows; beyond, joined as Spark sees fit."""
+    kept = df.persist()
+    if kept.limit(rows + 1).count() <= rows:
+        return F.broadcast(kept)
+    kept.unpersist()
+    return df
 
 
 def put_text(spark: SparkSession, path: str, text: str) -> None:

@@ -193,6 +193,14 @@ def test_sources_and_sinks(spark, tmp_path):
     assert next((tmp_path / "out").glob("*.csv")).read_text() == "k,v\na,\n"
 
 
+def test_broadcast_only_what_is_small(spark):
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    left, right = spark.range(50), spark.range(20).withColumn("v", F.lit(1))
+    few, many = left.join(tables.small(right, 20), "id"), left.join(tables.small(right, 19), "id")
+    assert "strategy=broadcast" in plan(few) and "strategy=broadcast" not in plan(many)
+    assert few.count() == many.count() == 20
+
+
 def test_batch_files(spark, tmp_path):
     tables.write_requests(spark.createDataFrame([("hello", 3)], "text string, ord int"), str(tmp_path / "req"), "small")
     assert "req-3" in "".join(f.read_text() for f in (tmp_path / "req").glob("*.json"))  # in any of the parts
