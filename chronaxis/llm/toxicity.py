@@ -227,7 +227,7 @@ def _term_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             counts[("", False, toxic)] += 1
             counts.update((w, False, toxic) for w in cores if 3 <= len(w) <= 32 and w[0].isalpha())
             counts.update((w, True, toxic) for w in {c[:k] for c in cores for k in (4, 5, 6) if len(c) >= k and c[0].isalpha()})
-            if len(counts) > 300_000:
+            if len(counts) > 120_000:
                 yield flush()
     yield flush()
 
