@@ -352,5 +352,5 @@ def confusion_best(spark: SparkSession, sf: str) -> DataFrame:
     """Which period the nearest point of another period belongs to, at each sequence's best layer."""
     best = M.best_layers(spark, sf)
     points = M.sequence_cells(spark, sf)[1].join(small(best), M.SEQ)
-    made = geometry.confusion(geometry.neighbours(points, M.SEQ, "label", "id"), M.SEQ, "label").join(small(best), M.SEQ)
+    made = geometry.confusion(geometry.nearest(points, M.SEQ, "label", "id"), M.SEQ, "label").join(small(best), M.SEQ)
     return D.rounded(made.withColumn("cell", F.when(F.col("share") > 0.02, F.format_string("%.2f", F.round("share", 9)))), "bw", "share")

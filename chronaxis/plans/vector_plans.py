@@ -113,7 +113,7 @@ def knn_purity(spark: SparkSession, sf: str) -> DataFrame:
 
 @register(f"with {_NEAR_SQL} select label, near, round(round(count(*) / sum(count(*)) over (partition by label), 9), 6) + 0.0 as share from nn group by label, near")
 def confusion(spark: SparkSession, sf: str) -> DataFrame:
-    return D.rounded(geometry.confusion(geometry.neighbours(D.points(spark, sf), [], "label", "vec_id"), [], "label"), "share")
+    return D.rounded(geometry.confusion(geometry.nearest(D.points(spark, sf), [], "label", "vec_id"), [], "label"), "share")
 
 
 @register(

@@ -13,6 +13,7 @@ from chronaxis.functions import stats
 from chronaxis.functions import vectors as V
 from chronaxis.operators import geometry, linalg, probes, series
 from chronaxis.plans import literals
+from chronaxis.queries import oracle_sql, queries
 from chronaxis.sources import tables
 from chronaxis.streaming.windows import windowed_mean
 
@@ -117,6 +118,83 @@ def test_neighbours_by_blocks_equal_brute_force(spark, monkeypatch, block):
         assert {r.i: r.near for r in geometry.neighbours(df, groups, "l", "i").collect()} == want
 
 
+def _embeddings(path, rows):
+    """A folder with ``rows`` (id, label, vector) as the table of embeddings."""
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    path.mkdir()
+    ids, labels, vecs = zip(*rows, strict=True)
+    pq.write_table(pa.table({"vec_id": pa.array(ids, pa.int64()), "embedding": pa.array(vecs, pa.list_(pa.float32())), "label": pa.array(labels, pa.int32())}), path / "embeddings.parquet")
+    return str(path)
+
+
+def _shuffled(spark, run):
+    """Bytes that the stages of ``run`` write for others."""
+    sc = spark.sparkContext
+    jvm, store = sc._jvm, sc._jsc.sc().statusStore()
+    stages = lambda: store.stageList(None, False, False, sc._gateway.new_array(jvm.double, 0), jvm.java.util.ArrayList())
+    sc._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    before = {stages().apply(i).stageId() for i in range(stages().size())}
+    run()
+    sc._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    made = stages()
+    return sum(s.shuffleWriteBytes() for s in map(made.apply, range(made.size())) if s.stageId() not in before)
+
+
+@pytest.mark.parametrize("name", ["confusion"])
+def test_nearest_points_are_shuffled_as_the_input_grows(spark, monkeypatch, tmp_path, name):
+    """Four times the points: about four times the bytes, not the square."""
+    import numpy as np
+
+    monkeypatch.setattr(geometry, "BLOCK", 16)
+    rng = np.random.default_rng(4)
+    rows = [(i, i % 5, rng.normal(size=64).tolist()) for i in range(2048)]
+    few, many = (_shuffled(spark, queries()[name](spark, _embeddings(tmp_path / str(n), rows[:n])).collect) for n in (512, 2048))
+    assert 0 < many < 6 * few
+
+
+@pytest.mark.parametrize("name", ["confusion"])
+@pytest.mark.parametrize("block", [4, 512])
+def test_nearest_points_of_odd_rows_equal_sql(spark, monkeypatch, tmp_path, name, block):
+    """Copies, near copies, many under one vector; vectors that are missing, infinite or no numbers; rows without a label."""
+    import duckdb
+    import numpy as np
+
+    monkeypatch.setattr(geometry, "BLOCK", block)
+    rng = np.random.default_rng(6)
+    rows = [(i, int(rng.integers(5)), np.round(rng.normal(size=4), 1).tolist()) for i in range(60)]
+    rows += [(100 + i, rows[i][1], rows[i][2]) for i in range(20)] + [(200 + i, i % 3, [0.5, 0.5, 0.5, 0.5]) for i in range(40)]
+    rows += [(300 + i, i % 2 + 3, [x + 1e-7 * i for x in rows[i][2]]) for i in range(9)]
+    rows += [(400, 1, [math.nan] * 4), (401, 2, [math.nan, 0.0, 0.0, 0.0]), (402, 7, [math.inf, 0.0, 0.0, 0.0]), (403, 8, [-math.inf, 0.0, 0.0, 0.0]), (404, 9, None), (405, None, [0.5, 0.5, 0.5, 0.5]), (406, 8, [math.inf, 1.0, 0.0, 0.0])]
+    at = _embeddings(tmp_path / "odd", rows)
+    sql = f"with embeddings as (select * from read_parquet('{at}/embeddings.parquet')), " + oracle_sql()[name].strip().removeprefix("with")
+    want = sorted(duckdb.sql(sql).fetchall())
+    assert sorted(map(tuple, queries()[name](spark, at).collect())) == want
+
+
+@pytest.mark.parametrize("own", [True, False])
+def test_bounds_lose_no_nearest_point(monkeypatch, own):
+    """Small matrices, points far off and a cluster of near copies, against all distances."""
+    import numpy as np
+    import pyarrow as pa
+
+    monkeypatch.setattr(geometry, "ROWS", 7)
+    monkeypatch.setattr(geometry, "COLUMNS", 5)
+    monkeypatch.setattr(geometry, "PAIRS", 11)
+    rng = np.random.default_rng(8)
+    v = rng.normal(size=(90, 6))
+    v[:30] = v[0] + rng.normal(size=(30, 6)) * 1e-9
+    v[30:33] *= 1e6
+    v[40:60] = np.round(v[40:60])
+    label, block = rng.integers(0, 4, 90), np.zeros(90, int) if own else rng.integers(0, 2, 90)
+    table = pa.table({"id": np.arange(90), "l": label, "copies": np.ones(90, int), "__v": pa.array(v.tolist()), "__b": block, "__p": np.zeros(90, int), "__q": np.full(90, 0 if own else 1)})
+    got = {r["id"]: (r["__d"], r["__k2"]) for r in geometry.block_pair(table, [], "l", "id").to_pylist()}
+    d = np.round(np.sqrt(((v[:, None] - v[None]) ** 2).sum(2)), 9)
+    for i in range(90):
+        assert got[i] == min((d[i, j], j) for j in range(90) if label[j] != label[i] and (own or block[j] != block[i]))
+
+
 def test_constant_layer(spark):
     df = spark.createDataFrame([(0, i % 3, [2.0, 2.0]) for i in range(9)], "layer int, pid int, vec array<double>")
     long = V.spread(df, "vec")
