@@ -73,7 +73,7 @@ def metrics(spark: SparkSession, sf: str) -> DataFrame:
     made = stats.spearman(on_axis(scaled, pc1, SEQ), SEQ, "p", "mid", rho="spearman_rho").withColumn("spearman_rho", F.abs("spearman_rho"))
     made = made.join(geometry.bw_ratio(long, SEQ, "label").withColumnRenamed("bw", "bw_ratio"), SEQ)
     made = made.join(tau(V.centroids(scaled, [*SEQ, "label", "mid"], "vec"), SEQ).withColumnRenamed("tau", "centroid_tau"), SEQ)
-    made = made.join(geometry.purity(geometry.neighbours(scaled, SEQ, "label", "id"), SEQ, "label").drop("n").withColumnRenamed("purity", "knn_purity"), SEQ)
+    made = made.join(geometry.purity(geometry.nearest(scaled, SEQ, "label", "id"), SEQ, "label").drop("n").withColumnRenamed("purity", "knn_purity"), SEQ)
     made = made.join(geometry.robustness(V.spread(raw.select(*SEQ, "label", "vec"), "vec"), SEQ, "label").withColumnRenamed("robustness", "tmpl_robustness"), SEQ)
     made = made.join(pc1.join(small(year), "layer").select(*SEQ, F.abs(V.cosine(F.col("axis"), F.col("year_axis"))).alias("cross_cosine")), SEQ)
     return made.join(stats.spearman(on_axis(raw, year, ["layer"], axis="year_axis"), SEQ, "p", "mid", rho="cross_rho").drop("n"), SEQ)
@@ -111,7 +111,7 @@ def manifold_metrics(spark: SparkSession, sf: str) -> DataFrame:
     year = D.difference_axis(cells, ["layer"]).withColumnRenamed("axis", "year_axis")
     rho = stats.spearman(on_axis(cells, pc1, _KEYS), _KEYS, "p", "mid", rho="spearman_rho").withColumn("spearman_rho", F.abs("spearman_rho"))
     cross = stats.spearman(on_axis(cells, year, ["layer"], axis="year_axis"), _KEYS, "p", "mid", rho="cross_rho").drop("n")
-    near = geometry.purity(geometry.neighbours(cells.withColumn("id", F.col("label")), _KEYS, "label", "id"), _KEYS, "label").drop("n")
+    near = geometry.purity(geometry.nearest(cells.withColumn("id", F.col("label")), _KEYS, "label", "id"), _KEYS, "label").drop("n")
     cosine = pc1.join(small(year), "layer").select(*_KEYS, F.abs(V.cosine(F.col("axis"), F.col("year_axis"))).alias("cross_cosine"))
     made = rho.join(tau(cells, _KEYS), _KEYS).join(near, _KEYS).join(cosine, _KEYS).join(cross, _KEYS)
     return D.rounded(made, "spearman_rho", "tau", "purity", "cross_cosine", "cross_rho")

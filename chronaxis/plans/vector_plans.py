@@ -108,7 +108,7 @@ def bw_ratio(spark: SparkSession, sf: str) -> DataFrame:
 
 @register(f"with {_NEAR_SQL} select round(round(avg((abs(label - near) = 1)::int), 9), 6) + 0.0 as purity, count(*) as n from nn")
 def knn_purity(spark: SparkSession, sf: str) -> DataFrame:
-    return D.rounded(geometry.purity(geometry.neighbours(D.points(spark, sf), [], "label", "vec_id"), [], "label"), "purity")
+    return D.rounded(geometry.purity(geometry.nearest(D.points(spark, sf), [], "label", "vec_id"), [], "label"), "purity")
 
 
 @register(f"with {_NEAR_SQL} select label, near, round(round(count(*) / sum(count(*)) over (partition by label), 9), 6) + 0.0 as share from nn group by label, near")

@@ -142,7 +142,7 @@ def _shuffled(spark, run):
     return sum(s.shuffleWriteBytes() for s in map(made.apply, range(made.size())) if s.stageId() not in before)
 
 
-@pytest.mark.parametrize("name", ["confusion"])
+@pytest.mark.parametrize("name", ["confusion", "knn_purity"])
 def test_nearest_points_are_shuffled_as_the_input_grows(spark, monkeypatch, tmp_path, name):
     """Four times the points: about four times the bytes, not the square."""
     import numpy as np
@@ -154,7 +154,7 @@ def test_nearest_points_are_shuffled_as_the_input_grows(spark, monkeypatch, tmp_
     assert 0 < many < 6 * few
 
 
-@pytest.mark.parametrize("name", ["confusion"])
+@pytest.mark.parametrize("name", ["confusion", "knn_purity"])
 @pytest.mark.parametrize("block", [4, 512])
 def test_nearest_points_of_odd_rows_equal_sql(spark, monkeypatch, tmp_path, name, block):
     """Copies, near copies, many under one vector; vectors that are missing, infinite or no numbers; rows without a label."""
